@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, simhash
+from . import bpe, decontaminate, pii, quality, simhash, substring, suffixes
 from .session import documents
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -25,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), with_ids=False)
 
@@ -34,9 +42,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op9_quality": op9_quality,
 }
@@ -58,3 +68,29 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+SQL["op1_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+src AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+hit AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN src USING (h) WHERE low < doc_id)),
+each AS (SELECT doc_id, w[k] AS word, k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY k) AS s, count(*) AS n FROM each e ANTI JOIN hit h ON e.doc_id = h.doc_id AND e.k = h.p GROUP BY e.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["op6_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM d WHERE length(x) >= 400)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+st AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM win SEMI JOIN rep USING (h)),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM st GROUP BY doc_id, g),
+marks AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM runs),
+isl AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marks) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, s, e, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY s) AS a FROM isl),
+cut AS (SELECT doc_id, sum(e - s) AS n, count(*) AS spans, max(e) AS tail, string_agg(substr(x, 2 * a - 1, 2 * (s - a)), '' ORDER BY s) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k || substr(x, 2 * tail - 1), x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

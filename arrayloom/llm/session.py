@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +51,17 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``write_table`` that nothing reads any more, and let Spark drop the shuffles behind it."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
