@@ -71,7 +71,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 SQL["op1_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+win AS (SELECT doc_id, i, hash(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
 src AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
 hit AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN src USING (h) WHERE low < doc_id)),
 each AS (SELECT doc_id, w[k] AS word, k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
@@ -82,7 +82,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 SQL["op6_suffix_dedup"] = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM d WHERE length(x) >= 400)),
+win AS (SELECT doc_id, i, hash(substr(x, 2 * i - 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM d WHERE length(x) >= 400)),
 rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
 st AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM win SEMI JOIN rep USING (h)),
 runs AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM st GROUP BY doc_id, g),
