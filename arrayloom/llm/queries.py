@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, pii, quality, simhash, substring, suffixes, urls
+from . import bpe, decontaminate, langid, neighbours, pii, quality, simhash, substring, suffixes, urls
 from .session import documents
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe": op7_bpe,
+    "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
 }
