@@ -81,7 +81,7 @@ def pack(flags: Column, n_words: int) -> Column:
 
     def word(i: Column) -> Column:
         own = F.slice(flags, i * WORD + 1, WORD)
-        return F.aggregate(F.transform(own, lambda f, j: F.when(f, F.shiftleft(F.lit(1).cast("bigint"), j)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+        return F.aggregate(F.transform(own, lambda f, j: F.when(f, F.call_function("shiftleft", F.lit(1).cast("bigint"), j)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), word)
 

@@ -11,47 +11,46 @@ from pyspark.sql import functions as F
 from ..functions import bf16, symbols
 
 
-def lagged(series: DataFrame, lags: list[int]) -> DataFrame:
-    """(tau, t, a, b, later): each time beside b at t + tau."""
-    each = series.select("t", "a", "b", F.explode(F.array(*[F.lit(x) for x in lags])).alias("tau"))
-    later = series.select(F.col("t").alias("_t"), F.col("b").alias("later"))
-    return each.join(later, each["t"] + each["tau"] == later["_t"]).drop("_t")
+def lagged(series: DataFrame, lags: list[int], *by: str) -> DataFrame:
+    """(by, tau, t, a, b, later): each time beside b at t + tau, for each series of ``by``."""
+    each = series.select(*by, "t", "a", "b", F.explode(F.array(*[F.lit(x) for x in lags])).alias("tau")).withColumn("_t", F.col("t") + F.col("tau"))
+    return each.join(series.select(*by, F.col("t").alias("_t"), F.col("b").alias("later")), [*by, "_t"]).drop("_t")
 
 
-def granger_signal(series: DataFrame, lags: list[int]) -> DataFrame:
+def granger_signal(series: DataFrame, lags: list[int], *by: str) -> DataFrame:
     """(tau, signal): the mean of d(a(t), b(t + tau)) - d(b(t), b(t + tau)); negative where a leads."""
     d = lambda x, y: symbols.distance(F.col(x), F.col(y))
-    return lagged(series, lags).groupBy("tau").agg(F.avg(d("a", "later") - d("b", "later")).alias("signal"))
+    return lagged(series, lags, *by).groupBy(*by, "tau").agg(F.avg(d("a", "later") - d("b", "later")).alias("signal"))
 
 
-def granger_scan(series: DataFrame, max_lag: int) -> DataFrame:
+def granger_scan(series: DataFrame, max_lag: int, *by: str) -> DataFrame:
     """The lag of 1 to max_lag with the smallest signal, the first of equal ones; lags without a pair don't count."""
-    return granger_signal(series, list(range(1, max_lag + 1))).agg(F.min(F.struct("signal", "tau")).alias("m")).select("m.tau", "m.signal")
+    return granger_signal(series, list(range(1, max_lag + 1)), *by).groupBy(*by).agg(F.min(F.struct("signal", "tau")).alias("m")).select(*by, "m.tau", "m.signal")
 
 
-def bf16_granger_dims(series: DataFrame, lags: list[int]) -> DataFrame:
-    """(tau, dim, sign_flips, exponent_shifts, rank): how often each place changes sign, and magnitude, from a(t) to
+def bf16_granger_dims(series: DataFrame, lags: list[int], *by: str) -> DataFrame:
+    """(by, tau, dim, sign_flips, exponent_shifts, rank): how often each place changes sign, and magnitude, from a(t) to
     b(t + tau); places are ranked by sign flips, then number."""
     diff = bf16.structural_diff(F.col("a"), F.col("later"))
-    each = lagged(series, lags).select("tau", diff.alias("d"))
+    each = lagged(series, lags, *by).select(*by, "tau", diff.alias("d"))
     marks = F.concat(
         F.transform("d.sign_dims", lambda i: F.struct(i.alias("dim"), F.lit(1).alias("s"), F.lit(0).alias("e"))),
         F.transform("d.major_dims", lambda i: F.struct(i.alias("dim"), F.lit(0).alias("s"), F.lit(1).alias("e"))),
     )
-    counts = each.select("tau", F.explode(marks).alias("m")).groupBy("tau", F.col("m.dim").alias("dim")).agg(F.sum("m.s").alias("sign_flips"), F.sum("m.e").alias("exponent_shifts"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("tau").orderBy(F.desc("sign_flips"), "dim")))
+    counts = each.select(*by, "tau", F.explode(marks).alias("m")).groupBy(*by, "tau", F.col("m.dim").alias("dim")).agg(F.sum("m.s").alias("sign_flips"), F.sum("m.e").alias("exponent_shifts"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "tau").orderBy(F.desc("sign_flips"), "dim")))
 
 
-def bf16_granger_signal(series: DataFrame, lags: list[int], weights: bf16.Weights = bf16.TRAINING) -> DataFrame:
+def bf16_granger_signal(series: DataFrame, lags: list[int], *by: str, weights: bf16.Weights = bf16.TRAINING) -> DataFrame:
     d = lambda x, y: bf16.distance(F.col(x), F.col(y), weights)
-    return lagged(series, lags).groupBy("tau").agg(F.avg(d("a", "later") - d("b", "later")).alias("signal"), F.count(F.lit(1)).alias("timesteps"))
+    return lagged(series, lags, *by).groupBy(*by, "tau").agg(F.avg(d("a", "later") - d("b", "later")).alias("signal"), F.count(F.lit(1)).alias("timesteps"))
 
 
-def bf16_granger_scan(series: DataFrame, max_lag: int) -> DataFrame:
+def bf16_granger_scan(series: DataFrame, max_lag: int, *by: str) -> DataFrame:
     """The best lag's signal and its places."""
     lags = list(range(1, max_lag + 1))
-    best = bf16_granger_signal(series, lags).agg(F.min(F.struct("signal", "tau", "timesteps")).alias("m")).select("m.tau", "m.signal", "m.timesteps")
-    return bf16_granger_dims(series, lags).join(F.broadcast(best), "tau")
+    best = bf16_granger_signal(series, lags, *by).groupBy(*by).agg(F.min(F.struct("signal", "tau", "timesteps")).alias("m")).select(*by, "m.tau", "m.signal", "m.timesteps")
+    return bf16_granger_dims(series, lags, *by).join(best, [*by, "tau"])
 
 
 def sign_flip_rate(flips: Column, timesteps: Column) -> Column:

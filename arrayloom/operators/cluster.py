@@ -117,8 +117,8 @@ def compress(nodes: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame
         if below is None:
             now = own.withColumn("recursive", F.col("unitary"))
         else:
-            edge = below.join(own.select(F.col("node").alias("parent"), F.col("cw").alias("pw")), "parent").groupBy("parent").agg(F.sum(cost("pw", "cw") + F.col("best")).alias("recursive"))
-            now = own.join(edge, own["node"] == edge["parent"], "left").select(own["*"], F.coalesce("recursive", "unitary").alias("recursive"))
+            edge = below.join(own.select(F.col("node").alias("parent"), F.col("cw").alias("pw")), "parent").groupBy(F.col("parent").alias("_up")).agg(F.sum(cost("pw", "cw") + F.col("best")).alias("recursive"))
+            now = own.join(edge, F.col("node") == F.col("_up"), "left").drop("_up").withColumn("recursive", F.coalesce("recursive", "unitary"))
         now = kept(now.withColumn("best", F.least("unitary", "recursive")).withColumn("mode", F.when(F.col("recursive") < F.col("unitary"), "recursive").otherwise("unitary")))
         below = now
         done = now if done is None else done.unionByName(now)

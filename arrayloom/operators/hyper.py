@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..shipping import ship
 from ..sources.random import SplitMix64
 
 #: Verbs of the default codebook and their rotations.
@@ -34,6 +35,7 @@ def hyperplanes(d: int, n_bits: int, seed: int) -> np.ndarray:
 
 def simhash(df: DataFrame, id_col: str, vector: str, n_bits: int, planes: np.ndarray) -> DataFrame:
     """(id, w): the signs of projections on hyperplanes (d x n_bits), which are sent to every task."""
+    ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

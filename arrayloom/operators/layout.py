@@ -98,7 +98,12 @@ def reshape(df: DataFrame, old: Sequence[int], new: Sequence[int]) -> DataFrame:
 
 
 def transpose(df: DataFrame, row: str = "i", col: str = "j") -> DataFrame:
-    return df.withColumnsRenamed({row: col, col: row})
+    return swapped(df, row, col)
+
+
+def swapped(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Two columns with their names exchanged."""
+    return df.select(*[F.col(c).alias({a: b, b: a}.get(c, c)) for c in df.columns])
 
 
 def flip(df: DataFrame, axis: str, size: int) -> DataFrame:

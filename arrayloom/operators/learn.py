@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Fixed value: one divided by the golden ratio.
 GOLDEN = 0.618033988749895
 
@@ -177,6 +179,7 @@ class Wal:
 def wal_sequence(events: DataFrame, templates: list[list[int]], *, key: str, order: str, d: int, channels: int, rate: float = 0.1, decay: int | None = None, flush_keep: int | None = None) -> DataFrame:
     """Fold each container's writes (key, order, concept, amplitude) in order: (key, order, concept, absorbed), or with
     ``flush_keep`` one row for each container after a flush: (key, rewritten, pruned, absorption)."""
+    ship(events.sparkSession)
     kind, order_kind = (events.schema[c].dataType.simpleString() for c in (key, order))
 
     def fold(group: tuple, part: pd.DataFrame) -> pd.DataFrame:

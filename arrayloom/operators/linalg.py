@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quant import i8
+from ..shipping import ship
+from .layout import swapped
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def transposed(a: DataFrame, trans: bool, row: str = "i", col: str = "k") -> DataFrame:
-    return a.withColumnsRenamed({row: col, col: row}) if trans else a
+    return swapped(a, row, col) if trans else a
 
 
 def _combine(product: DataFrame, c: DataFrame | None, alpha: float, beta: float, keys: list[str]) -> DataFrame:
@@ -60,7 +62,7 @@ def ger(x: DataFrame, y: DataFrame, a: DataFrame | None = None, *, alpha: float
 def mirrored(a: DataFrame, upper: bool = True, row: str = "i", col: str = "k") -> DataFrame:
     """A symmetric matrix from one of its triangles."""
     own = a.where(F.col(row) <= F.col(col) if upper else F.col(row) >= F.col(col))
-    return own.unionByName(own.where(F.col(row) != F.col(col)).withColumnsRenamed({row: col, col: row}))
+    return own.unionByName(swapped(own.where(F.col(row) != F.col(col)), row, col))
 
 
 def symv(a: DataFrame, v: DataFrame, y: DataFrame | None = None, *, upper: bool = True, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
@@ -70,7 +72,7 @@ def symv(a: DataFrame, v: DataFrame, y: DataFrame | None = None, *, upper: bool
 def symm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, *, upper: bool = True, left: bool = True, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
     """a b, or b a, for a symmetric from one triangle: a is (i, k, x); b is (k, j, x), or (i, k, x) on the left."""
     full = mirrored(a, upper)
-    return gemm(full, b, c, alpha=alpha, beta=beta) if left else gemm(b, full.withColumnsRenamed({"k": "j", "i": "k"}), c, alpha=alpha, beta=beta)
+    return gemm(full, b, c, alpha=alpha, beta=beta) if left else gemm(b, full.select(F.col("i").alias("k"), F.col("k").alias("j"), "x"), c, alpha=alpha, beta=beta)
 
 
 def syrk(a: DataFrame, c: DataFrame | None = None, *, alpha: float = 1.0, beta: float = 0.0, trans: bool = False, upper: bool = False) -> DataFrame:
@@ -113,6 +115,7 @@ def trsm(a: DataFrame, n: int, b: DataFrame, *, upper: bool = True, trans: bool
     sides are solved in parallel; a's n * n numbers go to each."""
     t = _triangle(dense(a, n), upper, trans, unit)
     t = t if left else t.T
+    ship(b.sparkSession)
     row, col = ("k", "j") if left else ("j", "k")
     lower = np.allclose(t, np.tril(t))
 
@@ -206,6 +209,8 @@ def per_matrix(df: DataFrame, n: int, kind: str) -> DataFrame:
     """Factor each small matrix of (m, i, k, x) in a task of its own: kind is lu, cholesky or qr. Gives (m, i, k, x) and
     info."""
 
+    ship(df.sparkSession)
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((n, n))
         a[part["i"].to_numpy(), part["k"].to_numpy()] = part["x"].to_numpy()
@@ -223,6 +228,7 @@ def per_matrix(df: DataFrame, n: int, kind: str) -> DataFrame:
 
 def solve_systems(a: DataFrame, b: DataFrame, n: int, kind: str = "lu") -> DataFrame:
     """Solve each system of (m, i, k, x) for its right side (m, i, x)."""
+    ship(a.sparkSession)
     both = a.withColumn("side", F.lit(False)).unionByName(b.withColumn("k", F.lit(0).cast("bigint")).withColumn("side", F.lit(True)))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -259,6 +265,7 @@ def fft(df: DataFrame, n: int, series: str = "s", *, inverse: bool = False, half
         raise ValueError("n must be a power of two")
     kind = df.schema[series].dataType.simpleString()
     imag = "im" in df.columns
+    ship(df.sparkSession)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         z = np.zeros(n, complex)
@@ -309,6 +316,7 @@ def block_product(a: DataFrame, b: DataFrame, n_b: int) -> DataFrame:
     if d * n_b > 16_000_000:
         raise ValueError("b is too large to send to every task")
     m = np.zeros((d, n_b))
+    ship(a.sparkSession)
     for k, j, x in b.select("k", "j", "x").collect():
         m[k, j] = x
 

@@ -135,5 +135,5 @@ def similar_pairs(rows: DataFrame, radius: float, d: int, pieces: int | None = N
 
 def nearest_entity(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """(cid, cs) with the nearest of (id, s): the first of equally near ones."""
-    both = pair_queries(candidates, entities).select("cid", "id", symbols.distance(F.col("cs"), F.col("s")).alias("dist"))
+    both = pair_queries(entities, candidates).select("cid", "id", symbols.distance(F.col("cs"), F.col("s")).alias("dist"))
     return both.groupBy("cid").agg(F.min(F.struct("dist", "id")).alias("m")).select("cid", F.col("m.id").alias("id"), F.col("m.dist").alias("dist"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.learn import Plasticity, Wal
+from ..shipping import ship
 
 
 def windowed(events: DataFrame, time: str, value: str, length: str, late: str, *by: str, slide: str | None = None) -> DataFrame:
@@ -30,6 +31,7 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, *by: str) -> Dat
 
 def wal_stream(events: DataFrame, templates: list[list[int]], *, key: str, order: str, d: int, channels: int, rate: float = 0.1, decay: int = 100) -> DataFrame:
     """Writes (key, order, concept, amplitude) folded into each key's container: (key, order, concept, absorbed)."""
+    ship(events.sparkSession)
     kind, order_kind = (events.schema[c].dataType.simpleString() for c in (key, order))
 
     def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,6 +56,7 @@ def wal_stream(events: DataFrame, templates: list[list[int]], *, key: str, order
 
 def absorption_stream(events: DataFrame, value: str, order: str, window: int, key: str) -> DataFrame:
     """Mean and minimum of the last ``window`` values of each key, after each micro-batch."""
+    ship(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
 
     def fold(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
