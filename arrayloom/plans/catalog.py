@@ -568,7 +568,7 @@ def infer_verb(spark, d):
     return hyper.infer_verb(p, cand, 1)
 
 
-CUBE = BUNDLE + ", cube AS (SELECT ra.i, rb.j, rc.k, sum(((x.b)::INT + (y.b)::INT + (z.b)::INT) % 2)::BIGINT AS pop FROM range(8) ra(i), range(8) rb(j), range(8) rc(k), range(64) rp(p) JOIN bits x ON x.label = 0 AND x.i = (rp.p - 8 * ra.i + 64) % 64 JOIN bits y ON y.label = 1 AND y.i = (rp.p - 8 * rb.j + 64) % 64 JOIN bits z ON z.label = 2 AND z.i = (p.p - 8 * c.k + 64) % 64 GROUP BY ALL)"
+CUBE = BUNDLE + ", cube AS (SELECT ra.i, rb.j, rc.k, sum(((x.b)::INT + (y.b)::INT + (z.b)::INT) % 2)::BIGINT AS pop FROM range(8) ra(i), range(8) rb(j), range(8) rc(k), range(64) rp(p) JOIN bits x ON x.label = 0 AND x.i = (rp.p - 8 * ra.i + 64) % 64 JOIN bits y ON y.label = 1 AND y.i = (rp.p - 8 * rb.j + 64) % 64 JOIN bits z ON z.label = 2 AND z.i = (rp.p - 8 * rc.k + 64) % 64 GROUP BY ra.i, rb.j, rc.k)"
 
 
 def _cube(spark, d) -> DataFrame:
