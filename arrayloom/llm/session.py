@@ -1,32 +1,14 @@
-"""Shared session helpers: module shipping and tables in the cluster's shared folder."""
+"""Shared session helpers: tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = Path(__file__).resolve().parents[2]
-_PACKAGE = Path(__file__).resolve().parents[1].name
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers (once for each Spark context)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_arrayloom_llm_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="arrayloom-"), "arrayloom_llm.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted((_ROOT / _PACKAGE).rglob("*.py")):
-            archive.write(path, path.relative_to(_ROOT))
-    sc.addPyFile(target)
-    sc._arrayloom_llm_shipped = True
-
+from ..shipping import ship  # noqa: F401
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
