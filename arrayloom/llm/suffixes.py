@@ -80,6 +80,8 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     interval = np.concatenate([s.interval for s in shards]) if shards else np.zeros(0, np.uint64)
     interleave = np.arange(total)
     for r in range(ROUNDS):
+        if not len(interleave):
+            break
         symbol = np.concatenate([s.symbols[r] for s in shards])[interleave]
         with np.errstate(over="ignore"):
             key = K.mix(interval[interleave] * np.uint64(0x9E3779B97F4A7C15) + symbol)
