@@ -38,10 +38,8 @@ def wrap(x: Column, kind: str) -> Column:
     if kind == "u8":
         return F.pmod(x.cast("bigint"), F.lit(256)).cast("smallint")
     half = 1 << (INT_BITS[kind] - 1)
-    wide = x.cast("decimal(38,0)")
-    full = F.lit(2 * half).cast("decimal(20,0)")
-    shifted = F.pmod(wide + F.lit(half).cast("decimal(20,0)"), full)
-    return (shifted - F.lit(half).cast("decimal(20,0)")).cast("int" if kind == "i32" else "bigint")
+    shift, full = (F.lit(str(n)).cast("decimal(20,0)") for n in (half, 2 * half))
+    return (F.pmod(x.cast("decimal(38,0)") + shift, full) - shift).cast("int" if kind == "i32" else "bigint")
 
 
 def wrapping(op: str, a: Value, b: Value, kind: str) -> Column:

@@ -111,12 +111,12 @@ def _triangle(a: np.ndarray, upper: bool, trans: bool, unit: bool) -> np.ndarray
 
 
 def trsm(a: DataFrame, n: int, b: DataFrame, *, upper: bool = True, trans: bool = False, unit: bool = False, alpha: float = 1.0, left: bool = True) -> DataFrame:
-    """Solve op(a) X = alpha * b for each column j of b (k, j, x), or X op(a) = alpha * b for each row. Right-hand
+    """Solve op(a) X = alpha * b for each column j of b (k, j, x), or X op(a) = alpha * b for each row j. Right-hand
     sides are solved in parallel; a's n * n numbers go to each."""
     t = _triangle(dense(a, n), upper, trans, unit)
     t = t if left else t.T
     ship(b.sparkSession)
-    row, col = ("k", "j") if left else ("j", "k")
+    row, col = "k", "j"
     lower = np.allclose(t, np.tril(t))
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

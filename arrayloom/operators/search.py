@@ -23,8 +23,8 @@ def pair_queries(queries: DataFrame, rows: DataFrame, most: int = QUERIES_MOST)
     if n <= most:
         return rows.crossJoin(F.broadcast(queries))
     blocks = -(-queries.count() // most)
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
-    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks).cast("bigint")))
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     return spread.join(dealt, "_block").drop("_block")
 
 
