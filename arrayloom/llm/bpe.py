@@ -25,7 +25,7 @@ from .session import ship
 
 _ROLL = K.Rolling(71)
 _EMPTY = 0xFFFFFFFF
-#: Entries and bytes that a worker's store of merged pre-tokens may hold before it starts anew.
+#: Merged pre-tokens that a worker's store may hold before it starts anew with those of the block at hand.
 STORE_ENTRIES = 2_500_000
 #: Code points with Unicode's White_Space property (fixed values).
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -222,8 +222,6 @@ class Encoder:
         self.pool = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> None:
-        if len(self.known) + len(keys) > STORE_ENTRIES:
-            self._forget()
         data = np.frombuffer(raw, np.uint8)
         pair = self.pair[data[:-1].astype(np.int32) << 8 | data[1:]]
         ranks = self.ranks
@@ -250,12 +248,11 @@ class Encoder:
             spot = np.searchsorted(self.known, own)
             new = self.known[np.minimum(spot, len(self.known) - 1)] != own if len(self.known) else np.ones(len(own), bool)
             if new.any():
+                if len(self.known) + int(new.sum()) > STORE_ENTRIES:
+                    self._forget()
+                    new[:] = True
                 at_new = missed[one[new]]
-                had = len(self.known)
                 self._learn(own[new], starts[at_new], ends[at_new], data.tobytes())
-                if len(self.known) < had + new.sum():  # the store has started anew
-                    lost = missed[one[~new]]
-                    self._learn(own[~new], starts[lost], ends[lost], data.tobytes())
                 spot = np.searchsorted(self.known, own)
             counts[missed] = self.count[spot][back]
         total = np.cumsum(counts)
