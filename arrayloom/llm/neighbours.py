@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import discard, ship, write_table
 
-DEGREE = 36
+DEGREE = 40
 #: Rounds of random hyperplanes for the first graph, nodes of a chunk, and neighbours taken from each chunk.
 FORESTS, CHUNK, EARLY = 8, 512, 12
 #: Most rounds of NN-descent, members of a local join, and offers to a member in it.
-ROUNDS, MEMBERS, OFFERS = 5, 64, 6
+ROUNDS, MEMBERS, OFFERS = 6, 72, 6
 #: Search: the pool's size, nodes opened in a step, steps.
-POOL, OPEN, STEPS = 128, 20, 6
+POOL, OPEN, STEPS = 256, 32, 8
 PIVOTS = 256
 
 
@@ -231,56 +231,61 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, pool: int
     kept = graph.select("node", "other").union(both.withColumn("place", place).where(F.col("place") <= DEGREE).select("node", "other")).distinct()
     lists = kept.join(nodes.select(F.col("node").alias("other"), "q"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "q")).alias("near"))
     near = lists.repartition(n, "node").persist(StorageLevel.DISK_ONLY)
-    state = queries.select("query", "q", F.explode("start").alias("node"), F.lit(None).cast("float").alias("sim"), F.lit(True).alias("todo"))
-    # state: a row for each member of a pool; todo: to be opened in this step
-    opened = state
-    pools = None
-    for step in range(steps):
-        asked = opened.where("todo").select("query", "q", "node").join(near, "node")
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(len(batch)):
-                    rows = batch.column(3).slice(i, 1).flatten()
-                    sim = restored(rows.field("q")) @ restored(batch.column(2).slice(i, 1))[0]
-                    m = min(pool, len(sim))
-                    top = np.argpartition(-sim, m - 1)[:m]
-                    query, q = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * m, pa.int64()), pa.array([q] * m, pa.binary()), rows.field("other").take(pa.array(top)), pa.array(sim[top].astype(np.float32)), pa.array([False] * m)], ["query", "q", "node", "sim", "opened"])
-
-        found = asked.select("node", "query", "q", "near").mapInArrow(look, "query bigint, q binary, node bigint, sim float, opened boolean")
-        mine = opened.select("query", "q", "node", "sim", F.lit(True).alias("opened")) if pools is None else pools
-        every = found.unionByName(mine)
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in groups_of(batches, 50_000):
-                query, node, done = table.column(0).to_numpy(), table.column(2).to_numpy(), table.column(4).to_numpy()
-                sim = np.nan_to_num(table.column(3).to_numpy(), nan=np.inf)  # a start that has no value stays in the pool as opened
-                keep = best(query, node, -np.where(done, 1.0, 0.0), ~done, 1 << 30)
-                # the value that the search found for a node replaces a start's missing one
-                value = {}
-                for a, b, s in zip(query.tolist(), node.tolist(), sim.tolist(), strict=True):
-                    if s < value.get((a, b), np.inf):
-                        value[a, b] = s
-                sim = np.array([value.get((a, b), np.inf) for a, b in zip(query[keep].tolist(), node[keep].tolist(), strict=True)])
-                order = np.lexsort((node[keep], -sim, query[keep]))
-                keep, sim = keep[order], sim[order]
-                cut = bounds(query[keep])
-                take, todo = np.zeros(len(keep), bool), np.zeros(len(keep), bool)
-                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    take[lo : lo + pool] = True
-                    waiting = lo + np.flatnonzero(~done[keep[lo : min(hi, lo + pool)]])[:OPEN]
-                    todo[waiting] = True
-                    take[lo + pool : hi] = False
-                rows = table.take(pa.array(keep[take]))
-                t = todo[take]
-                yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(sim[take].astype(np.float32)), pa.array(done[keep[take]] | t), pa.array(t)], ["query", "q", "node", "sim", "opened", "todo"])
-
-        merged = grouped(every.select("query", "q", "node", "sim", "opened"), "query", run=merge, schema="query bigint, q binary, node bigint, sim float, opened boolean, todo boolean")
-        previous, opened = (opened if step else None), write_table(merged, "pools")
-        pools = opened.select("query", "q", "node", "sim", "opened")
-        if previous is not None:
-            discard(previous)
+    # a row for each member of a pool. opened: its list has been looked at; todo: it is looked at in this step; low: what a
+    # new member must exceed. A query's vector stands in its first row and in those to do.
+    state = queries.select("query", "q", F.explode("start").alias("node"), F.lit(None).cast("float").alias("sim"), F.lit(True).alias("opened"), F.lit(True).alias("todo"), F.lit(float("-inf")).cast("float").alias("low"))
+    opened = write_table(state, "pools")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors_, low, lists = restored(batch.column(2)), batch.column(3).to_numpy(), batch.column(4)
+            asked, nodes_, sims = [], [], []
+            for i in range(len(batch)):
+                rows = lists.slice(i, 1).flatten()
+                sim = restored(rows.field("q")) @ vectors_[i]
+                keep = np.flatnonzero(sim > low[i])
+                asked.append(np.full(len(keep), i))
+                nodes_.append(rows.field("other").to_numpy()[keep])
+                sims.append(sim[keep])
+            at = np.concatenate(asked)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.nulls(len(at), pa.binary()), pa.array(np.concatenate(nodes_)), pa.array(np.concatenate(sims).astype(np.float32)), pa.array(np.zeros(len(at), bool))], ["query", "q", "node", "sim", "opened"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, 50_000):
+            query, node = table.column(0).to_numpy(), table.column(2).to_numpy()
+            sim = np.nan_to_num(table.column(3).to_numpy(), nan=np.inf)  # a start without a value counts as best
+            done = table.column(4).to_numpy()
+            has_q = np.flatnonzero(table.column(1).combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+            order = np.lexsort((~done, node, query))  # of a node's rows the opened one comes first
+            a, b = query[order], node[order]
+            head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            keep = order[head]
+            value = np.minimum.reduceat(sim[order], np.flatnonzero(head))  # the value found replaces a missing one
+            again = np.lexsort((node[keep], -value, query[keep]))
+            keep, value = keep[again], value[again]
+            cut = bounds(query[keep])
+            take, todo, first = np.zeros(len(keep), bool), np.zeros(len(keep), bool), np.zeros(len(keep), bool)
+            low = np.full(len(keep), -np.inf, np.float32)
+            own_q = has_q[np.searchsorted(query[has_q], query[keep])]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                end = min(hi, lo + pool)
+                take[lo:end] = first[lo] = True
+                todo[lo + np.flatnonzero(~done[keep[lo:end]])[:OPEN]] = True
+                if hi - lo >= pool:
+                    low[lo:end] = value[end - 1]
+            vector = pa.array(own_q[take], mask=~(todo | first)[take])
+            rows = [table.column(0).combine_chunks().take(pa.array(keep[take])), table.column(1).combine_chunks().take(vector), table.column(2).combine_chunks().take(pa.array(keep[take]))]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(value[take].astype(np.float32)), pa.array((done[keep] | todo)[take]), pa.array(todo[take]), pa.array(low[take])], ["query", "q", "node", "sim", "opened", "todo", "low"])
+
+    for _ in range(steps):
+        asked = opened.where("todo").select("node", "query", "q", "low").join(near, "node").select("node", "query", "q", "low", "near")
+        found = asked.mapInArrow(look, "query bigint, q binary, node bigint, sim float, opened boolean")
+        every = found.unionByName(opened.select("query", "q", "node", "sim", "opened"))
+        merged = grouped(every, "query", run=merge, schema="query bigint, q binary, node bigint, sim float, opened boolean, todo boolean, low float")
+        previous, opened = opened, write_table(merged, "pools")
+        discard(previous)
         if not opened.where("todo").limit(1).count():
             break
     near.unpersist()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship  # noqa: F401
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
