@@ -73,6 +73,13 @@ def annotate(members: DataFrame, n_words: int) -> DataFrame:
     return each.groupBy("node", "word").agg(F.bit_or("x").alias("mask"), F.count(F.lit(1)).alias("card"))
 
 
+def cluster_points(members: DataFrame, node: int) -> DataFrame:
+    """The points below a node."""
+    depth = node.bit_length()
+    at = F.floor(F.log2("node")).cast("int") + 1
+    return members.where((at >= depth) & (F.expr(f"shiftrightunsigned(node, greatest(0, floor(log2(node)) + 1 - {depth})::int)") == node))
+
+
 def rho_neighbours(queries: DataFrame, nodes: DataFrame, members: DataFrame, rows: DataFrame, rho: int) -> DataFrame:
     """(qid, id, dist) within rho, reading only leaves that the triangle inequality leaves open."""
     from .search import pair_queries

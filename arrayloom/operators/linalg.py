@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bf16 import from_float_rounded, to_float
 from ..functions.quant import i8
 from ..shipping import ship
 from .layout import swapped
@@ -291,6 +292,12 @@ def int_matmul_float(a: DataFrame, b: DataFrame, scale_a: float, zero_point_a: i
     return sums.select("i", "j", (F.lit(scale_a) * F.col("sb") * (F.col("acc") - F.lit(zero_point_a) * F.col("colsum"))).alias("x"))
 
 
+def bf16_gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, *, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
+    """The product of operands rounded to BF16, summed in double precision."""
+    low = lambda m: m.withColumn("x", to_float(from_float_rounded(F.col("x"))))
+    return gemm(low(a), low(b), c, alpha=alpha, beta=beta)
+
+
 def pruned_rows(rows: DataFrame, fraction: float) -> DataFrame:
     """(i, v): rows whose approximate norm reaches the one at place floor(m * fraction) of all norms in order."""
     from .reduce import approx_row_norm

@@ -110,6 +110,11 @@ def sweep(queries: DataFrame, rows: DataFrame, thresholds: tuple[int, int, int,
     return both
 
 
+def hdr_sweep(queries: DataFrame, rows: DataFrame, thresholds: tuple[int, int, int, int]) -> DataFrame:
+    """The same with the signed-byte cosine of the embed channel's bytes (``qe`` and ``e``); callers order by it."""
+    return sweep(queries, rows, thresholds).withColumn("cosine", bits.cosine_i8(F.col("qe"), F.col("e")))
+
+
 def similar_pairs(rows: DataFrame, radius: float, d: int, pieces: int | None = None) -> DataFrame:
     """Pairs (a, b, dist) of symbol vectors (id, s) with dist / d below the radius, each once, a before b.
 

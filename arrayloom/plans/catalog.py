@@ -336,6 +336,15 @@ def sweep_4ch(spark, d):
     return search.sweep(queries, rows, (6, 6, 6, 6)).select("qid", "id", *[f"d_{c}" for c in search.CHANNELS])
 
 
+@query(f"WITH {Q8}, ch AS (SELECT vec_id, (i // 16)::INT AS c, sum(CASE WHEN x >= 0 THEN 1::BIGINT << (i % 16) ELSE 0 END)::BIGINT AS w FROM emb GROUP BY ALL), d AS (SELECT q.vec_id AS qid, r.vec_id AS id FROM ch q JOIN ch r USING (c) WHERE q.vec_id % 20 = 0 GROUP BY ALL HAVING max(bit_count(xor(q.w, r.w))) <= 7), k AS (SELECT qid, id, sum(a.q * b.q)::BIGINT AS dot, sqrt(sum(a.q * a.q)::DOUBLE) * sqrt(sum(b.q * b.q)::DOUBLE) AS n FROM d JOIN q8 a ON a.vec_id = qid AND a.i >= 48 JOIN q8 b ON b.vec_id = id AND b.i = a.i GROUP BY ALL) SELECT qid, id, CASE WHEN n = 0 THEN 0.0 ELSE round(dot / n, 6) + 0.0 END AS cosine FROM k")
+def hdr_sweep(spark, d):
+    parts = [bits.pack(F.concat(F.transform(F.slice("v", 16 * k + 1, 16), lambda x: x >= 0), F.array_repeat(F.lit(False), 48)), 1).alias(c) for k, c in enumerate(search.CHANNELS)]
+    e = F.transform(F.slice(quant.i8(F.col("v"))["q"], 49, 16), lambda x: F.pmod(x.cast("int"), F.lit(256)))
+    rows = vectors(spark, d).select(F.col("vec_id").alias("id"), F.struct(*parts).alias("rec"), e.alias("e"))
+    queries = rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("rec").alias("qrec"), F.col("e").alias("qe"))
+    return search.hdr_sweep(queries, rows, (7, 7, 7, 7)).select("qid", "id", r6(F.col("cosine"), "cosine"))
+
+
 CLASSES = FP + ", cls AS (SELECT w0, w1, min(vec_id) AS id, count(*) AS n FROM fp GROUP BY w0, w1)"
 
 
@@ -456,6 +465,13 @@ def gemm(spark, d):
     return linalg.gemm(e.select(F.col("vec_id").alias("i"), F.col("i").alias("k"), "x"), b, alpha=1.5).select("i", "j", r6(F.col("x"), "x"))
 
 
+@query(f"WITH {EMB}, r AS (SELECT vec_id, i, x, x::FLOAT::BIT::VARCHAR AS s FROM emb), u AS (SELECT vec_id, i, x, s::BIT::INTEGER::BIGINT & 4294967295 AS u FROM r), h AS (SELECT vec_id, i, (u + 32767 + ((u >> 16) & 1)) >> 16 AS p FROM u), y AS (SELECT vec_id, i, CASE WHEN p & 32640 = 0 THEN 0 ELSE (CASE WHEN p & 32768 <> 0 THEN -1.0 ELSE 1.0 END) * pow(2.0::DOUBLE, ((p & 32640) >> 7) - 127) * (1 + (p & 127) / 128.0::DOUBLE) END AS y FROM h), b AS (SELECT label::BIGINT AS j, i AS k, round(avg(x) * 64) / 64 AS x FROM emb GROUP BY label, i) SELECT vec_id AS i, j, round(sum(y * b.x), 6) + 0.0 AS x FROM y JOIN b ON b.k = y.i GROUP BY vec_id, j")
+def bf16_gemm(spark, d):
+    e = emb(spark, d)
+    b = e.groupBy(F.col("label").cast("bigint").alias("j"), F.col("i").alias("k")).agg((F.round(F.avg("x") * 64) / 64).alias("x"))
+    return linalg.bf16_gemm(e.select(F.col("vec_id").alias("i"), F.col("i").alias("k"), "x"), b).select("i", "j", r6(F.col("x"), "x"))
+
+
 @query(f"WITH {EMB}, g AS (SELECT a.i, b.i AS k, sum(a.x * b.x) AS x FROM emb a JOIN emb b ON a.vec_id = b.vec_id GROUP BY ALL), v AS (SELECT i AS k, avg(x) AS x FROM emb GROUP BY i) SELECT g.i, round(sum(g.x * v.x), 6) + 0.0 AS sym, round(sum(CASE WHEN g.i <= g.k THEN g.x * v.x ELSE 0 END), 6) + 0.0 AS tri FROM g JOIN v USING (k) GROUP BY g.i")
 def symv_trmv(spark, d):
     e = emb(spark, d)

@@ -81,6 +81,7 @@ def test_search_agrees_with_scan(spark):
     assert got == {k: d for k, d in near.items() if d <= 8}
     done = {r.node: r for r in cluster.compress(nodes, members, rows).collect()}
     assert done[1].best <= done[1].unitary and len(done) == nodes.count()
+    assert cluster.cluster_points(members, 1).count() == 60 == sum(cluster.cluster_points(members, k).count() for k in (2, 3))
     masks = cluster.annotate(members, 1)
     assert masks.where("node = 1").first().mask == int(np.bitwise_or.reduce(w))
 
