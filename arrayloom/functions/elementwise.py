@@ -70,16 +70,23 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once for a row, not again for each element of an array."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def softmax(a: Column) -> Column:
     """Softmax of an array, shifted by its largest element; within the row, so without a shuffle."""
-    shifted = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    shifted = let(F.array_max(a).cast("double"), lambda m: F.transform(a, lambda x: F.exp(x.cast("double") - m)))
+    return let(shifted, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a).cast("double")
-    lse = F.ln(total(F.transform(a, lambda x: F.exp(x.cast("double") - top))))
-    return F.transform(a, lambda x: x.cast("double") - top - lse)
+    def shift(m: Column) -> Column:
+        lse = F.ln(total(F.transform(a, lambda x: F.exp(x.cast("double") - m))))
+        return let(lse, lambda s: F.transform(a, lambda x: x.cast("double") - m - s))
+
+    return let(F.array_max(a).cast("double"), shift)
 
 
 def int_sqrt(x: Column, kind: str = "int") -> Column:

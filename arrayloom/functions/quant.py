@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .elementwise import let
+
 
 def _clamp(x: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
@@ -15,16 +17,24 @@ def u8(a: Column) -> Column:
     low, high = F.array_min(a).cast("double"), F.array_max(a).cast("double")
     scale = F.when(high - low == 0, F.lit(1.0)).otherwise((high - low) / 255)
     zero = _clamp(F.round(-low / scale), 0, 255).cast("int")
-    q = F.transform(a, lambda x: _clamp(F.round(x.cast("double") / scale) + zero, 0, 255).cast("smallint"))
-    return F.struct(q.alias("q"), scale.alias("scale"), zero.alias("zero_point"))
+
+    def apply(p: Column) -> Column:
+        q = F.transform(a, lambda x: _clamp(F.round(x.cast("double") / p["scale"]) + p["zero_point"], 0, 255).cast("smallint"))
+        return F.struct(q.alias("q"), p["scale"].alias("scale"), p["zero_point"].alias("zero_point"))
+
+    return let(F.struct(scale.alias("scale"), zero.alias("zero_point")), apply)
 
 
 def symmetric(a: Column, levels: int, low: int | None = None) -> Column:
     """Symmetric integers: scale is the largest absolute value by ``levels``, 1 where that is 0."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top == 0, F.lit(1.0)).otherwise(top / levels)
-    q = F.transform(a, lambda x: _clamp(F.round(x.cast("double") / scale), -levels if low is None else low, levels).cast("smallint"))
-    return F.struct(q.alias("q"), scale.alias("scale"), F.lit(0).alias("zero_point"))
+
+    def apply(p: Column) -> Column:
+        q = F.transform(a, lambda x: _clamp(F.round(x.cast("double") / p), -levels if low is None else low, levels).cast("smallint"))
+        return F.struct(q.alias("q"), p.alias("scale"), F.lit(0).alias("zero_point"))
+
+    return let(scale, apply)
 
 
 def i8(a: Column) -> Column:
@@ -33,8 +43,7 @@ def i8(a: Column) -> Column:
 
 def i4(a: Column) -> Column:
     """Four bits, two to a byte: the even place in the high half."""
-    s = symmetric(a, 7, -8)
-    return F.struct(pack_i4(s["q"]).alias("packed"), s["scale"].alias("scale"), F.size(a).alias("n"))
+    return let(symmetric(a, 7, -8), lambda s: F.struct(pack_i4(s["q"]).alias("packed"), s["scale"].alias("scale"), F.size(a).alias("n")))
 
 
 def pack_i4(q: Column) -> Column:

@@ -74,10 +74,10 @@ def approx_mean_std(df: DataFrame, *by: str, x: str = X) -> DataFrame:
 
 def approx_row_norm(v: Column) -> Column:
     """L2 norm of an array through symmetric 8-bit integers."""
+    from ..functions.elementwise import let
     from ..functions.quant import i8
 
-    s = i8(v)
-    return s["scale"] * F.sqrt(F.aggregate(s["q"], F.lit(0).cast("bigint"), lambda t, q: t + q.cast("bigint") * q).cast("double"))
+    return let(i8(v), lambda s: s["scale"] * F.sqrt(F.aggregate(s["q"], F.lit(0).cast("bigint"), lambda t, q: t + q.cast("bigint") * q).cast("double")))
 
 
 def matrix_stats(df: DataFrame, total_bits: int, value: str = "pop") -> DataFrame:

@@ -95,8 +95,10 @@ def cascade(queries: DataFrame, rows: DataFrame, threshold: int, mode: str = "of
 
 def cosine_i8_search(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(qid, qb) against (id, b): rows whose signed-byte cosine is at least ``least``; zero vectors are left out."""
-    both = pair_queries(queries, rows).where((bits.norm_sq_i8(F.col("b")) > 0) & (bits.norm_sq_i8(F.col("qb")) > 0))
-    return both.select("qid", "id", bits.cosine_i8(F.col("qb"), F.col("b")).alias("cosine")).where(F.col("cosine") >= least)
+    measured = rows.withColumn("nb", bits.norm_sq_i8(F.col("b"))).where("nb > 0")
+    asked = queries.withColumn("nq", bits.norm_sq_i8(F.col("qb"))).where("nq > 0")
+    cosine = bits.dot_i8(F.col("qb"), F.col("b")).cast("double") / (F.sqrt(F.col("nq").cast("double")) * F.sqrt(F.col("nb").cast("double")))
+    return pair_queries(asked, measured).select("qid", "id", cosine.alias("cosine")).where(F.col("cosine") >= least)
 
 
 CHANNELS = ("meta", "cam", "btree", "embed")
