@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .session import ship, write_table
+from .session import hash_sample, ship, write_table
 
 SEED = 42
 BITS = 64
@@ -176,7 +176,6 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int) -> DataFrame:
     """(a, b): links that connect what lies within the radius. ``nodes`` has node bigint and fp bigint, distinct."""
-    spark = nodes.sparkSession
     parts = [(g, group, filed(len(group), t)) for g, (group, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,46 +189,70 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
                     yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), batch.column(0).take(pa.array(take[at])), batch.column(1).take(pa.array(take[at]))], ["key", "node", "fp"])
 
     keyed = nodes.select("node", "fp").mapInArrow(file, "key bigint, node bigint, fp bigint")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = write_table(sizes, "keys")
-    wanted = keyed.join(sizes, "key")
-    # a crowded key is filed anew: two fingerprints within the radius agree in one of radius + 1 slices of the bits
+    first = write_table(_walk(keyed, radius, FINE), "links")
+    crowded = first.where("key IS NOT NULL").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
+    again = _walk(crowded, radius, None)
+    return first.where("key IS NULL").select("a", "b").union(again.select("a", "b")).distinct()
+
+
+def _walk(keyed: DataFrame, radius: int, fine: int | None) -> DataFrame:
+    """(a, b, key): links among the members of each key, with a null key. A key with more than ``fine`` members comes
+    back instead: its members (a: node, b: fingerprint) under finer keys, one for each of radius + 1 slices of the
+    bits, since two fingerprints within the radius agree in one. No more than that many members are held at once."""
     width = BITS // (radius + 1)
-    slices = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1 if width < 64 else -1).alias("v")) for i in range(radius + 1)])
-    small = wanted.where(F.col("n") <= FINE).select("key", "node", "fp")
-    large = wanted.where(F.col("n") > FINE).select("key", "node", "fp", F.explode(slices).alias("s")).select(F.xxhash64("key", "s.i", "s.v").alias("key"), "node", "fp")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
-
-        def link(rows: np.ndarray) -> pa.RecordBatch:
-            keys, nodes_, fps = rows
-            edges: list[np.ndarray] = []
-            cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if e - s == 2:
-                    if (int(fps[s] ^ fps[s + 1]) & (2**64 - 1)).bit_count() <= radius:
-                        edges.append(nodes_[s : s + 2].reshape(1, 2))
-                elif e - s > 2:
-                    own = forest(fps[s:e].view(np.uint64), radius)
-                    if own:
-                        edges.append(nodes_[s:e][np.array(own)])
-            both = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-            both = np.unique(np.sort(both, axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    rest = np.uint64((1 << width) - 1 if width < 64 else 2**64 - 1)
+
+    def links_of(rows: np.ndarray) -> pa.RecordBatch:
+        keys, nodes_, fps = rows
+        prints = fps.view(np.uint64)
+        edges: list[np.ndarray] = []
+        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        size = np.diff(cut)
+        two = cut[:-1][size == 2]
+        near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius] if len(two) else two
+        edges.append(np.stack([nodes_[near], nodes_[near + 1]], axis=1))
+        for s, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = forest(prints[s : s + n], radius)
+            if own:
+                edges.append(nodes_[s : s + n][np.array(own)])
+        both = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], ["a", "b", "key"])
+
+    def refiled(rows: np.ndarray) -> pa.RecordBatch:
+        keys, nodes_, fps = rows
+        parts = [K.mix(K.mix(keys.view(np.uint64)) + np.uint64(i + 1) + ((fps.view(np.uint64) >> np.uint64(i * width)) & rest)) for i in range(radius + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(nodes_, len(parts))), pa.array(np.tile(fps, len(parts))), pa.array(np.concatenate(parts).view(np.int64))], ["a", "b", "key"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowd = np.zeros((3, 0), np.int64), None
         for batch in batches:
-            held = np.concatenate([held, np.array([batch.column(i).to_numpy() for i in range(3)])], axis=1)
-            if held.shape[1] and held[0, 0] != held[0, -1]:
-                cut = int(np.searchsorted(held[0], held[0, -1]))
-                done, held = held[:, :cut], held[:, cut:]
-                yield link(np.ascontiguousarray(done))
+            if not len(batch):
+                continue
+            rows = np.array([batch.column(i).to_numpy() for i in range(3)])
+            if crowd is not None:  # more of the crowded key
+                n = int(np.searchsorted(rows[0], crowd, "right"))
+                if n:
+                    yield refiled(np.ascontiguousarray(rows[:, :n]))
+                rows = rows[:, n:]
+                if not rows.shape[1]:
+                    continue
+                crowd = None
+            held = np.concatenate([held, rows], axis=1)
+            keys, sizes = np.unique(held[0], return_counts=True)
+            if fine is not None and (sizes > fine).any():
+                many = np.repeat(sizes > fine, sizes)
+                yield refiled(np.ascontiguousarray(held[:, many]))
+                crowd = keys[-1] if sizes[-1] > fine else None
+                held = held[:, ~many]
+            cut = held.shape[1] if crowd is not None else int(np.searchsorted(held[0], held[0, -1]))
+            done, held = held[:, :cut], held[:, cut:]
+            if done.shape[1]:
+                yield links_of(np.ascontiguousarray(done))
         if held.shape[1]:
-            yield link(np.ascontiguousarray(held))
+            yield links_of(np.ascontiguousarray(held))
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = small.unionByName(large).repartition(n, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(walk, "a bigint, b bigint").distinct()
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, key bigint")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, id_co
     prints = write_table(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
     nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     total = nodes.count()
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in hash_sample(nodes.select("fp"), "fp", SAMPLE, total).collect()], np.int64).view(np.uint64)
     groups, thresholds = plan(sample, total, radius)
     found = connected_components(links(nodes, groups, thresholds, radius))
     merged = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
