@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship
+from .session import hash_sample, ship
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH = 80, 24
@@ -374,7 +374,7 @@ def train(texts: list[str], *, most: int = 500, seed: int = 3) -> Tagger:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col, text_col).limit(SAMPLE).collect()
+    rows = hash_sample(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()), id_col, SAMPLE).collect()
     return train([r[1] for r in rows])
 
 
