@@ -162,9 +162,10 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model, or None where there is no labelled row."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~F.coalesce(held_out("id"), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
-    chosen = own.select("id", "lang", "text").withColumn("r", rank).where(F.col("r") <= SAMPLE)
-    ids = chosen.select("lang", "r", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h"))
+    chosen = own.select("id", "lang", F.xxhash64("text").alias("h")).withColumn("r", rank).where(F.col("r") <= SAMPLE)
+    # at most SAMPLE rows of each language: chosen without their texts, which a join fetches
+    ids = own.withColumn("h", F.xxhash64("text")).join(chosen, ["id", "lang", "h"]).select("lang", "r", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
