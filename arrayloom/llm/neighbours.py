@@ -3,11 +3,12 @@
 Equal vectors are one node. A first graph joins nodes that random hyperplanes put together, compared in chunks of
 bounded size. Each round of NN-descent then joins neighbours of neighbours: a node gathers its neighbours and a sample
 of those that have it as theirs, compares the pairs that are new, and offers each member the closest it has not kept; a
-member keeps its best. Rounds end when few lists change. For that, vectors are rounded to bytes with a scale each.
+member keeps its best. Rounds end when few lists change. Products are taken in double precision everywhere: vectors travel
+as they are, in four bytes a number where that loses nothing (an array of float) and in eight elsewhere.
 
 A query starts from the neighbours of its own node, or of the nearest of a bounded number of pivots; in
 each step its best nodes that have not been opened are joined with the graph, and what they lead to joins its pool of
-the best found. At the end the pool is scored with the original vectors in double precision.
+the best found.
 
 Defined cases: vectors that are null, zero, or hold a null or a number that is not finite take no part, nor do those whose
 length is not the most common one (the smallest of equally common ones); of a repeated id the smallest vector counts; ties go to
@@ -20,7 +21,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +87,16 @@ def as_bytes(table: pa.Array) -> np.ndarray:
     return table.flatten().to_numpy().reshape(len(table), -1)
 
 
-def rounded(v: np.ndarray) -> list[bytes]:
-    """Each vector as a scale and a signed byte for each number."""
-    scale = np.abs(v).max(axis=1, keepdims=True) / 127
-    q = np.rint(v / scale).astype(np.int8)
-    return [s + r.tobytes() for s, r in zip((x.tobytes() for x in scale.astype(np.float32)), q, strict=True)]
+def packed(v: np.ndarray, kind: str) -> list[bytes]:
+    """Each vector as the bytes of its numbers, as ``kind`` (``<f4`` or ``<f8``)."""
+    return [r.tobytes() for r in v.astype(kind)]
 
 
-def restored(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def restored(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Packed vectors of ``size`` numbers as a matrix of doubles."""
     data, at = K.buffers(column)
-    rows = data[at[0] : at[-1]].reshape(len(at) - 1, -1)
-    return rows[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view(np.float32)
+    rows = np.ascontiguousarray(data[at[0] : at[-1]]).reshape(len(at) - 1, -1)
+    return rows.view(f"<f{rows.shape[1] // size}").astype(np.float64)
 
 
 def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, new: np.ndarray, degree: int) -> np.ndarray:
@@ -112,11 +111,11 @@ def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, new: np.ndarray,
     return order[rank < degree]
 
 
-EDGES = "node bigint, other bigint, sim float, new boolean"
+EDGES = "node bigint, other bigint, sim double, new boolean"
 
 
 def edges(node: np.ndarray, other: np.ndarray, sim: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(sim.astype(np.float32)), pa.array(new)], ["node", "other", "sim", "new"])
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(sim.astype(np.float64)), pa.array(new)], ["node", "other", "sim", "new"])
 
 
 def keep_best(offers: DataFrame, degree: int) -> DataFrame:
@@ -138,22 +137,24 @@ def keep_best(offers: DataFrame, degree: int) -> DataFrame:
 
 
 def first_graph(nodes: DataFrame, total: int, size: int, degree: int) -> DataFrame:
-    """Edges among the nodes that random hyperplanes put together."""
+    """Edges among the nodes that random hyperplanes put together. Those that no hyperplane parts (near copies) are put in
+    the order of a projection, another one in each forest."""
     depth = max(0, int(np.ceil(np.log2(max(1, total / CHUNK)))))
-    planes = np.random.default_rng(17).normal(size=(FORESTS, depth + 8, size)).astype(np.float32)
+    planes = np.random.default_rng(17).normal(size=(FORESTS, depth + 9, size))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = restored(batch.column(1))
+            v = restored(batch.column(1), size)
             for f in range(FORESTS):
-                side = v @ planes[f].T > 0
+                along = v @ planes[f].T
+                side = along[:, :-1] > 0
                 bucket = side[:, :depth] @ (1 << np.arange(depth)) if depth else np.zeros(len(v), np.int64)
                 fine = side[:, depth:] @ (1 << np.arange(8))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64) * FORESTS + f), pa.array(fine.astype(np.int64)), batch.column(0), batch.column(1)], ["bucket", "fine", "node", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64) * FORESTS + f), pa.array(fine.astype(np.int64)), pa.array(along[:, -1].copy()), batch.column(0), batch.column(1)], ["bucket", "fine", "along", "node", "q"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, 20_000):
-            node, v = table.column(2).to_numpy(), restored(table.column(3))
+            node, v = table.column(3).to_numpy(), restored(table.column(4), size)
             cut = bounds(table.column(0).to_numpy())
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 pieces = max(1, round((hi - lo) / CHUNK))
@@ -166,13 +167,13 @@ def first_graph(nodes: DataFrame, total: int, size: int, degree: int) -> DataFra
                     near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
                     yield edges(np.repeat(node[own], k), node[own][near].reshape(-1), np.take_along_axis(sim, near, 1).reshape(-1), np.ones(len(own) * k, bool))
 
-    filed = nodes.select("node", "q").mapInArrow(file, "bucket bigint, fine bigint, node bigint, q binary")
-    return keep_best(grouped(filed, "bucket", "fine", run=run, schema=EDGES), degree)
+    filed = nodes.select("node", "q").mapInArrow(file, "bucket bigint, fine bigint, along double, node bigint, q binary")
+    return keep_best(grouped(filed, "bucket", "fine", "along", "node", run=run, schema=EDGES), degree)
 
 
-def descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
+def descend(nodes: DataFrame, graph: DataFrame, size: int, degree: int) -> DataFrame:
     """One round: the offers of all local joins."""
-    worst = graph.groupBy("node").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") >= degree, F.col("worst")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+    worst = graph.groupBy("node").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") >= degree, F.col("worst")).otherwise(F.lit(float("-inf"))).alias("worst"))
     told = nodes.select("node", "q").join(worst, "node")
     ahead = graph.select(F.col("node").alias("at"), F.col("other").alias("node"), "new", F.lit(0).alias("way"))
     back = graph.select(F.col("other").alias("at"), "node", "new", F.lit(1).alias("way"))
@@ -184,7 +185,7 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, 20_000):
             node, new, low = table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).to_numpy()
-            v = restored(table.column(4))
+            v = restored(table.column(4), size)
             cut = bounds(table.column(0).to_numpy())
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -213,7 +214,7 @@ def build_graph(nodes: DataFrame, total: int, size: int, *, degree: int = DEGREE
     graph = write_table(first_graph(nodes, total, size, degree), "graph")
     for _ in range(rounds):
         old = graph.withColumn("new", F.lit(False))
-        graph_next = write_table(keep_best(old.unionByName(descend(nodes, graph, degree)), degree), "graph")
+        graph_next = write_table(keep_best(old.unionByName(descend(nodes, graph, size, degree)), degree), "graph")
         changed = graph_next.where("new").count()
         discard(graph)
         graph = graph_next
@@ -222,73 +223,53 @@ def build_graph(nodes: DataFrame, total: int, size: int, *, degree: int = DEGREE
     return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, pool: int = POOL, steps: int = STEPS) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int, *, pool: int = POOL, steps: int = STEPS) -> DataFrame:
     """(query, node, sim): the pool of each query. ``queries`` has query bigint, q binary, and start array<bigint>."""
-    spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = graph.select("node", "other").union(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other"))
     kept = graph.select("node", "other").union(both.withColumn("place", place).where(F.col("place") <= DEGREE).select("node", "other")).distinct()
-    lists = kept.join(nodes.select(F.col("node").alias("other"), "q"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "q")).alias("near"))
-    near = lists.repartition(n, "node").persist(StorageLevel.DISK_ONLY)
-    # a row for each member of a pool. opened: its list has been looked at; todo: it is looked at in this step; low: what a
-    # new member must exceed. A query's vector stands in its first row and in those to do.
-    state = queries.select("query", "q", F.explode("start").alias("node"), F.lit(None).cast("float").alias("sim"), F.lit(True).alias("opened"), F.lit(True).alias("todo"), F.lit(float("-inf")).cast("float").alias("low"))
+    lists = write_table(kept.groupBy("node").agg(F.collect_list("other").alias("near")), "lists")
+    # a row for each member of a pool. opened: its list has been looked at; todo: it is looked at in this step. A query's
+    # vector stands in its first row.
+    state = queries.select("query", "q", F.explode("start").alias("node"), F.lit(None).cast("double").alias("sim"), F.lit(True).alias("opened"), F.lit(True).alias("todo"))
     opened = write_table(state, "pools")
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors_, low, lists = restored(batch.column(2)), batch.column(3).to_numpy(), batch.column(4)
-            asked, nodes_, sims = [], [], []
-            for i in range(len(batch)):
-                rows = lists.slice(i, 1).flatten()
-                sim = restored(rows.field("q")) @ vectors_[i]
-                keep = np.flatnonzero(sim > low[i])
-                asked.append(np.full(len(keep), i))
-                nodes_.append(rows.field("other").to_numpy()[keep])
-                sims.append(sim[keep])
-            at = np.concatenate(asked)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.nulls(len(at), pa.binary()), pa.array(np.concatenate(nodes_)), pa.array(np.concatenate(sims).astype(np.float32)), pa.array(np.zeros(len(at), bool))], ["query", "q", "node", "sim", "opened"])
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, 50_000):
             query, node = table.column(0).to_numpy(), table.column(2).to_numpy()
             sim = np.nan_to_num(table.column(3).to_numpy(), nan=np.inf)  # a start without a value counts as best
             done = table.column(4).to_numpy()
-            has_q = np.flatnonzero(table.column(1).combine_chunks().is_valid().to_numpy(zero_copy_only=False))
-            order = np.lexsort((~done, node, query))  # of a node's rows the opened one comes first
-            a, b = query[order], node[order]
-            head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            keep = order[head]
-            value = np.minimum.reduceat(sim[order], np.flatnonzero(head))  # the value found replaces a missing one
-            again = np.lexsort((node[keep], -value, query[keep]))
-            keep, value = keep[again], value[again]
+            q, v = table.column(1).combine_chunks(), table.column(5).combine_chunks()
+            has_q, has_v = (np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in (q, v))
+            has_q = has_q[bounds(query[has_q])[:-1]]
+            own_q = np.searchsorted(query[has_q], query)
+            if len(has_v):
+                asked, found = restored(q.take(pa.array(has_q)), size), restored(v.take(pa.array(has_v)), size)
+                for lo in range(0, len(has_v), 4096):
+                    at = has_v[lo : lo + 4096]
+                    sim[at] = np.einsum("ij,ij->i", found[lo : lo + 4096], asked[own_q[at]])
+            keep = np.lexsort((node, -sim, query))
             cut = bounds(query[keep])
             take, todo, first = np.zeros(len(keep), bool), np.zeros(len(keep), bool), np.zeros(len(keep), bool)
-            low = np.full(len(keep), -np.inf, np.float32)
-            own_q = has_q[np.searchsorted(query[has_q], query[keep])]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 end = min(hi, lo + pool)
                 take[lo:end] = first[lo] = True
                 todo[lo + np.flatnonzero(~done[keep[lo:end]])[:OPEN]] = True
-                if hi - lo >= pool:
-                    low[lo:end] = value[end - 1]
-            vector = pa.array(own_q[take], mask=~(todo | first)[take])
-            rows = [table.column(0).combine_chunks().take(pa.array(keep[take])), table.column(1).combine_chunks().take(vector), table.column(2).combine_chunks().take(pa.array(keep[take]))]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(value[take].astype(np.float32)), pa.array((done[keep] | todo)[take]), pa.array(todo[take]), pa.array(low[take])], ["query", "q", "node", "sim", "opened", "todo", "low"])
+            rows = pa.array(keep[take])
+            vector = q.take(pa.array(has_q[own_q[keep]][take], mask=~first[take]))
+            yield pa.RecordBatch.from_arrays([pa.array(query[keep][take]), vector, table.column(2).combine_chunks().take(rows), pa.array(sim[keep][take]), pa.array((done[keep] | todo)[take]), pa.array(todo[take])], ["query", "q", "node", "sim", "opened", "todo"])
 
     for _ in range(steps):
-        asked = opened.where("todo").select("node", "query", "q", "low").join(near, "node").select("node", "query", "q", "low", "near")
-        found = asked.mapInArrow(look, "query bigint, q binary, node bigint, sim float, opened boolean")
-        every = found.unionByName(opened.select("query", "q", "node", "sim", "opened"))
-        merged = grouped(every, "query", run=merge, schema="query bigint, q binary, node bigint, sim float, opened boolean, todo boolean, low float")
+        reached = opened.where("todo").select("query", "node").join(lists, "node").select("query", F.explode("near").alias("node")).distinct()
+        fresh = reached.join(opened.select("query", "node"), ["query", "node"], "left_anti").join(nodes.select("node", F.col("q").alias("v")), "node")
+        found = fresh.select("query", F.lit(None).cast("binary").alias("q"), "node", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("opened"), "v")
+        every = found.unionByName(opened.select("query", "q", "node", "sim", "opened", F.lit(None).cast("binary").alias("v")))
+        merged = grouped(every, "query", run=merge, schema="query bigint, q binary, node bigint, sim double, opened boolean, todo boolean")
         previous, opened = opened, write_table(merged, "pools")
         discard(previous)
         if not opened.where("todo").limit(1).count():
             break
-    near.unpersist()
+    discard(lists)
     return opened.select("query", "node", "sim")
 
 
@@ -298,11 +279,12 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     ship(spark)
     rows = write_table(vectors(table, id_col, vector_col), "vectors")
     nodes = rows.groupBy("v").agg(F.min("vec_id").alias("node"))
+    kind = "<f4" if table.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rounded(as_bytes(batch.column(1))), pa.binary()), batch.column(1)], ["node", "q", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed(as_bytes(batch.column(1)), kind), pa.binary()), batch.column(1)], ["node", "q", "v"])
 
     nodes = write_table(nodes.select("node", "v").mapInArrow(pack, "node bigint, q binary, v array<double>"), "nodes")
     total = nodes.count()
@@ -317,7 +299,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     members = own.withColumn("place", place).where(F.col("place") <= k + 1).select("node", "vec_id")
     asked = own.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "q", F.array("node").alias("start"))
-    pools = search(nodes, graph, write_table(queries, "queries"))
+    pools = search(nodes, graph, write_table(queries, "queries"), size)
     pools = pools.select("query", "node").union(asked.select(F.col("node").alias("query"), "node")).distinct()
     a, b = nodes.select(F.col("node").alias("query"), F.col("v").alias("qv")), nodes.select("node", "v")
     scored = pools.join(b, "node").join(a, "query")

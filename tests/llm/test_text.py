@@ -163,3 +163,15 @@ def test_neighbours(spark):
     assert hit / (20 * len(got)) >= 0.9
     assert neighbours.nearest(df.limit(0)).count() == 0
     assert [r.vec_id for r in neighbours.nearest(df.where("vec_id in (20, 21)")).collect()] == [21]
+
+
+def test_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=16) + 0.0005 * rng.normal(size=(1500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    want = {q: set([i for i in np.lexsort((np.arange(1500), -s[q])).tolist() if i != q][:20]) for q in range(0, 1500, 100)}
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.95 * 20 * len(want)
