@@ -6,6 +6,8 @@ tree's depth. Rows are (id, w).
 
 from __future__ import annotations
 
+import itertools
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -19,40 +21,73 @@ DISTANCES: dict[str, Callable] = {"hamming": bits.hamming}
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage: by checkpoint where a folder is set, else by caching."""
-    jsc = df.sparkSession.sparkContext._jsc.sc()
-    return df.checkpoint() if jsc.getCheckpointDir().isDefined() else df.cache()
+    """Cut the lineage by checkpoint, in a temporary folder where none is set: plans of deep trees double with each level."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arrayloom-shared-"))
+    return df.checkpoint()
 
 
-def build_tree(rows: DataFrame, *, min_cardinality: int = 16, max_depth: int = 20, seeds: int = 8, distance: str = "hamming") -> tuple[DataFrame, DataFrame]:
-    """(nodes, members). nodes: node, parent, depth, center, radius, card, lfd, leaf; members: node, id, w, to_center for
-    the leaves. The centre is the candidate (the smallest ids of a cluster) of the smallest total distance; a cluster
-    splits between the point farthest from its centre and the one farthest from that, ties to the left and small ids."""
+#: Seeds of a cluster that one task compares with all of its seeds.
+SEED_BLOCK = 256
+
+
+def seeds_of(open_: DataFrame) -> DataFrame:
+    """(node, cid, cw, h, k): the k = ceil(sqrt(n)) points of each cluster whose ids have the smallest hashes. About four
+    times as many are ranked, not whole clusters."""
+    most = 1 << 40
+    sized = open_.join(open_.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node").withColumn("k", F.ceil(F.sqrt("n")))
+    sized = sized.withColumn("h", F.pmod(F.xxhash64("id", "node"), F.lit(most))).where(F.col("h") * F.col("n") / most < 4 * F.col("k") + 64)
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("h", "id"))
+    return sized.withColumn("r", rank).where(F.col("r") <= F.col("k")).select("node", F.col("id").alias("cid"), F.col("w").alias("cw"), "h", "k")
+
+
+#: Depth from which nodes are numbered in order.
+HEAP = 61
+
+
+def build_tree(rows: DataFrame, *, min_cardinality: int = 16, max_depth: int | None = None, distance: str = "hamming") -> tuple[DataFrame, DataFrame]:
+    """(nodes, members). nodes: node, parent, depth, center, radius, card, lfd, leaf; members: node, id, w, to_center, path
+    (from the root to the node) for the leaves. The centre is the seed of the smallest total distance to a cluster's seeds,
+    of which there are ceil(sqrt(n)); a cluster splits between the point farthest from its centre and the one farthest from
+    that, ties to the left and small ids. Without ``max_depth``, until no cluster is open. Children of n are 2n and 2n + 1,
+    below depth ``HEAP`` numbers from -1 down."""
     d = DISTANCES[distance]
-    open_ = rows.select(F.lit(1).cast("bigint").alias("node"), "id", "w")
-    nodes, leaves, parents = None, None, None
-    for depth in range(max_depth + 1):
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
-        cand = open_.withColumn("r", rank).where(F.col("r") <= seeds).select("node", F.col("id").alias("cid"), F.col("w").alias("cw"))
-        cost = open_.join(cand, "node").groupBy("node", "cid").agg(F.sum(d(F.col("w"), F.col("cw"))).alias("cost"))
+    one = F.lit(1).cast("bigint")
+    open_ = kept(rows.select(one.alias("node"), "id", "w", F.array(one).alias("path")))
+    nodes, leaves, deep = None, None, 0
+    for depth in itertools.count():
+        cand = kept(seeds_of(open_))
+        blocks = F.ceil(F.col("k") / SEED_BLOCK)
+        others = cand.select("node", F.col("cw").alias("sw"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+        cost = cand.withColumn("block", F.pmod("h", blocks)).join(others, ["node", "block"]).groupBy("node", "cid").agg(F.sum(d(F.col("sw"), F.col("cw"))).alias("cost"))
         best = cost.groupBy("node").agg(F.min(F.struct("cost", "cid")).alias("m")).select("node", F.col("m.cid").alias("center"))
         centers = best.join(cand, (best["node"] == cand["node"]) & (best["center"] == cand["cid"])).select(best["node"], "center", F.col("cw").alias("center_w"))
         near = kept(open_.join(centers, "node").withColumn("to_center", d(F.col("w"), F.col("center_w"))))
-        size = near.groupBy("node").agg(F.count(F.lit(1)).alias("card"), F.max("to_center").alias("radius"), F.min(F.struct((-F.col("to_center")).alias("o"), "id", "w")).alias("far"), F.first("center").alias("center"))
+        size = near.groupBy("node").agg(F.count(F.lit(1)).alias("card"), F.max("to_center").alias("radius"), F.min(F.struct((-F.col("to_center")).alias("o"), "id", "w")).alias("far"), F.first("center").alias("center"), F.first("path").alias("path"))
         half = near.join(size.select("node", "radius"), "node").groupBy("node").agg(F.sum(F.when(F.col("to_center") * 2 <= F.col("radius"), 1).otherwise(0)).alias("half"))
         size = size.join(half, "node").withColumn("leaf", (F.col("card") <= min_cardinality) | (F.col("radius") == 0) | F.lit(depth == max_depth))
-        here = size.select("node", F.floor(F.col("node") / 2).alias("parent"), F.lit(depth).alias("depth"), "center", "radius", "card", lfd(F.col("card"), F.col("half")).alias("lfd"), "leaf")
+        here = size.select("node", F.coalesce(F.get("path", F.size("path") - 2), F.lit(0)).alias("parent"), F.lit(depth).alias("depth"), "center", "radius", "card", lfd(F.col("card"), F.col("half")).alias("lfd"), "leaf")
         here = kept(here)
         nodes = here if nodes is None else nodes.unionByName(here)
-        done = near.join(here.where("leaf").select("node"), "node", "left_semi").select("node", "id", "w", "to_center")
+        done = near.join(here.where("leaf").select("node"), "node", "left_semi").select("node", "id", "w", "to_center", "path")
         leaves = done if leaves is None else leaves.unionByName(done)
         rest = near.join(size.where(~F.col("leaf")).select("node", F.col("far.w").alias("left_w")), "node")
-        if not here.where(~F.col("leaf")).limit(1).count():
+        split = here.where(~F.col("leaf")).select("node")
+        n_split = split.count()
+        if not n_split:
             break
         rest = rest.withColumn("dl", d(F.col("w"), F.col("left_w")))
         right = rest.groupBy("node").agg(F.min(F.struct((-F.col("dl")).alias("o"), "id", "w")).alias("m")).select("node", F.col("m.w").alias("right_w"))
-        split = rest.join(right, "node").select((F.col("node") * 2 + F.when(F.col("dl") <= d(F.col("w"), F.col("right_w")), 0).otherwise(1)).alias("node"), "id", "w")
-        open_ = kept(split)
+        if depth < HEAP:
+            right, child = right.withColumn("left", F.col("node") * 2), F.col("left") + F.col("side")
+        else:  # 2n would leave a bigint: count the split clusters on
+            rank = split.withColumn("left", -(deep + 2 * F.row_number().over(Window.orderBy("node")) - 1).cast("bigint"))
+            right, child = right.join(rank, "node"), F.col("left") - F.col("side")
+            deep += 2 * n_split
+        sides = rest.join(right, "node").withColumn("side", F.when(F.col("dl") <= d(F.col("w"), F.col("right_w")), 0).otherwise(1))
+        sides = sides.select(child.alias("node"), "id", "w", "path")
+        open_ = kept(sides.withColumn("path", F.concat("path", F.array("node"))))
     return nodes, leaves
 
 
@@ -68,16 +103,13 @@ def delta_minus(to_center, radius):
 
 def annotate(members: DataFrame, n_words: int) -> DataFrame:
     """The or of each cluster's vectors, for every node above them too: (node, word, mask, card)."""
-    up = members.select("node", "w").withColumn("up", F.sequence(F.lit(0), F.floor(F.log2("node")).cast("int")))
-    each = up.select(F.explode("up").alias("s"), "node", "w").select(F.expr("shiftrightunsigned(node, s)").alias("node"), F.posexplode("w").alias("word", "x"))
+    each = members.select(F.explode("path").alias("node"), "w").select("node", F.posexplode("w").alias("word", "x"))
     return each.groupBy("node", "word").agg(F.bit_or("x").alias("mask"), F.count(F.lit(1)).alias("card"))
 
 
 def cluster_points(members: DataFrame, node: int) -> DataFrame:
     """The points below a node."""
-    depth = node.bit_length()
-    at = F.floor(F.log2("node")).cast("int") + 1
-    return members.where((at >= depth) & (F.expr(f"shiftrightunsigned(node, greatest(0, floor(log2(node)) + 1 - {depth})::int)") == node))
+    return members.where(F.array_contains("path", F.lit(node).cast("bigint")))
 
 
 def rho_neighbours(queries: DataFrame, nodes: DataFrame, members: DataFrame, rows: DataFrame, rho: int) -> DataFrame:
@@ -114,8 +146,7 @@ def compress(nodes: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame
     by_id = rows.select(F.col("id").alias("center"), F.col("w").alias("cw"))
     cost = lambda a, b: F.size(bits.xor_diff(_bytes(F.col(a)), _bytes(F.col(b)))) * 3
     info = nodes.join(by_id, "center").select("node", "parent", "depth", "leaf", "cw")
-    up = members.select("node", "w").withColumn("up", F.sequence(F.lit(0), F.floor(F.log2("node")).cast("int")))
-    each = up.select(F.explode("up").alias("s"), "node", "w").select(F.expr("shiftrightunsigned(node, s)").alias("node"), "w")
+    each = members.select(F.explode("path").alias("node"), "w")
     unitary = each.join(info.select("node", "cw"), "node").groupBy("node").agg(F.sum(cost("cw", "w")).alias("unitary"))
     state = kept(info.join(unitary, "node"))
     done, below = None, None

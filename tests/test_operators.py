@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,23 @@ def test_search_agrees_with_scan(spark):
     assert masks.where("node = 1").first().mask == int(np.bitwise_or.reduce(w))
 
 
+def test_cluster_tree_is_whole(spark, monkeypatch):
+    assert inspect.signature(cluster.build_tree).parameters["max_depth"].default is None
+    # vector i has i + 1 bits of its own: a split parts one point from all others, and the tree is as deep as there are points
+    rows = spark.createDataFrame([(i, [((1 << (i + 1)) - 1) << (i * (i + 1) // 2)]) for i in range(6)], "id bigint, w array<bigint>")
+    monkeypatch.setattr(cluster, "HEAP", 2, raising=False)
+    nodes, members = cluster.build_tree(rows, min_cardinality=1)
+    got = nodes.collect()
+    assert all(r.card == 1 for r in got if r.leaf) and max(r.depth for r in got) == 5 and members.count() == 6
+    place = {r.node: (r.depth, r.card) for r in got}
+    assert len(place) == len(got) == 11 and min(place) < 0
+    assert all(place[r.parent][0] == r.depth - 1 and place[r.parent][1] > r.card for r in got if r.depth)
+    # the smallest ids lie apart: a centre among them would be far from most points
+    rows = spark.createDataFrame([(i, [(1 << 40) - 1 if i < 8 else 1 << (i % 5)]) for i in range(100)], "id bigint, w array<bigint>")
+    root = cluster.build_tree(rows, min_cardinality=100)[0].first()
+    assert root.center >= 8 and cluster.seeds_of(rows.withColumn("node", F.lit(1))).count() == 10
+
+
 def test_similar_pairs_both_ways(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2, (6, 32))
