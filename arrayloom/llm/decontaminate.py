@@ -14,6 +14,7 @@ repeated windows count once for an item id; repeated documents give a row each.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ def term_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written index: a row for each segment, with its documents and the sorted places of each of its terms."""
+    """The written index: a row for each segment, with its documents and the sorted places of each of its terms. A segment's
+    name is drawn when it is written: equal segments have different names."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,8 +53,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
                 gaps = np.diff(order.astype(np.uint32), prepend=np.uint32(0))  # small within a term, wraps between terms
                 ids = batch.column(0).slice(lo, hi - lo)
-                name = hashlib.blake2b(ids.to_numpy(zero_copy_only=False).astype(str).astype(object).sum().encode() + data[:4096].tobytes(), digest_size=12).hexdigest()
-                row = [[name], [ids.cast(pa.int64()).to_pylist()], [first.astype(np.int64).tobytes()], [ranked[head].tobytes()], [head.astype(np.int64).tobytes()], [gaps.tobytes()]]
+                row = [[uuid.uuid4().hex], [ids.cast(pa.int64()).to_pylist()], [first.astype(np.int64).tobytes()], [ranked[head].tobytes()], [head.astype(np.int64).tobytes()], [gaps.tobytes()]]
                 kinds = [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["segment", "doc_ids", "word_at", "terms", "term_at", "places"])
 

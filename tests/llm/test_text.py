@@ -121,6 +121,21 @@ def test_quality_learns_and_covers_whole_texts(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_contamination_of_a_table_united_with_itself(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    b = spark.createDataFrame([(1, "one two three four"), (2, "é é é é é")], "item_id bigint, text string")
+    docs = table(spark, [(1, "x one two three four"), (2, "one")]).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 2)  # a segment for each copy
+    try:
+        got = sorted((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.contamination(docs.union(docs), b).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(1, 5, 4), (1, 5, 4), (2, 1, 0), (2, 1, 0)]
+
+
 def test_language(spark):
     en, de = "the cat and the dog of that ", "der hund und die katze nicht "
     rows = [(i, (en if i % 2 else de) * 3, "en" if i % 2 else "de") for i in range(80)] + [(500, None, "en"), (501, "12 !", "de"), (502, "", None), (503, "the dog", None)]
