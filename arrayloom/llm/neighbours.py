@@ -6,7 +6,7 @@ of those that have it as theirs, compares the pairs that are new, and offers eac
 member keeps its best. Rounds end when few lists change. Products are taken in double precision everywhere: vectors travel
 as they are, in four bytes a number where that loses nothing (an array of float) and in eight elsewhere.
 
-A query starts from the neighbours of its own node, or of the nearest of a bounded number of pivots; in
+A query is a row of the table and starts from the neighbours of its own node; in
 each step its best nodes that have not been opened are joined with the graph, and what they lead to joins its pool of
 the best found.
 
@@ -34,7 +34,6 @@ FORESTS, CHUNK, EARLY = 8, 512, 12
 ROUNDS, MEMBERS, OFFERS = 6, 72, 6
 #: Search: the pool's size, nodes opened in a step, steps.
 POOL, OPEN, STEPS = 256, 32, 8
-PIVOTS = 256
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
