@@ -2,7 +2,7 @@
 
 The rules give base spans, which always stay. The network, trained in numpy from labelled spans, adds spans that the
 rules miss. Every kind has digits or an at sign, so windows of WINDOW characters, half overlapping, are laid over all
-of a text that lies within REACH characters of one; the rest of a text can hold no span. Windows are decoded by Viterbi; a
+of a text that lies within REACH characters of one or in one word with it; the rest of a text can hold no span. Windows are decoded by Viterbi; a
 character takes its label from the window in whose middle it lies most, and spans are then read off the whole text.
 An added span must have its kind's marks and must not touch a base span.
 
@@ -34,6 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]+")
+_SPACE = re.compile(r"\s")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -228,12 +229,20 @@ class Tagger:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Ranges of a text within REACH characters of a digit or an at sign."""
+    """Ranges of a text within REACH characters of a digit or an at sign, or in one word (without white space) with it."""
     out: list[list[int]] = []
+    head = end = 0  # the last mark's word
     for m in _MARK.finditer(text):
-        s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if m.start() >= end:
+            head = m.start()
+            while head > end and not text[head - 1].isspace():
+                head -= 1
+        if m.end() > end:
+            space = _SPACE.search(text, m.end())
+            end = space.start() if space else len(text)
+        s, e = min(head, max(0, m.start() - REACH)), max(end, min(len(text), m.end() + REACH))
         if out and s <= out[-1][1]:
-            out[-1][1] = e
+            out[-1][1] = max(e, out[-1][1])
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]

@@ -121,6 +121,19 @@ def test_quality_learns_and_covers_whole_texts(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_pii_windows_reach_the_ends_of_words():
+    class Words:
+        def decode(self, x):
+            return np.where((x == pii.codes(" ")[0]) | (x == 0), 0, 2)
+
+    own = "x" * 40 + "\u00e9@" + "y" * 90 + ".net"
+    text = "some words before " + own + " " + "and words after it " * 9 + "7"
+    at = text.index(own)
+    assert pii.base_spans(own) == []
+    assert (0, at, at + len(own)) in pii.all_spans(Words(), [text])[1][0]
+    assert pii.regions("a" * 99) == [] and pii.regions("b" * 99 + " 5 " + "c" * 99) == [(76, 125)]
+
+
 @pytest.mark.parametrize("block", [2_000_000, 3])
 def test_contamination_of_a_table_united_with_itself(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
