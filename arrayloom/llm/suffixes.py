@@ -1,4 +1,7 @@
-"""Byte-level deduplication by merging Burrows-Wheeler transforms of shards.
+"""Byte-level deduplication by minimiser super-windows and grouping by block hashes.
+
+This stands in place of merged Burrows-Wheeler transforms: no suffix is sorted and no transform is built. The words shard,
+symbol and interleave below are those of such a merge; what runs sorts hashes of the blocks of rows gathered by anchor.
 
 Repeated strings of ``width`` bytes are repeated intervals of the suffix order: suffixes whose common prefix has
 ``width`` bytes or more. Suffixes that share a super-window (see ``spans``) with a common prefix of at least ``width`` bytes
