@@ -1,6 +1,6 @@
-"""Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
+"""Language identification: sparse multinomial logistic regression on TF-IDF byte n-grams.
 
-Features are n-grams of one to three characters (UTF-8 text, A-Z lower-cased, digits and ASCII marks as one blank), hashed to
+Features are n-grams of one to three bytes (UTF-8 text, A-Z lower-cased, digits and ASCII marks as one blank), hashed to
 FEATURES places. Document frequencies are counted over all documents that may be learnt from. Weights are trained with
 follow-the-regularised-leader (per-coordinate steps) under an elastic net: the L1 part keeps only weights that earn their
 place. A temperature, fitted on learning rows that the weights did not see, calibrates the probability.
