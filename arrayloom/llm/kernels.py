@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -40,8 +41,61 @@ def mix(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [_MASK], np.uint64)
+_LONG = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place, as a number; zeros stand beyond the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the bytes of the ranges [start, end): eight bytes at a time go through a bijection that isn't
+    linear, ranges of over 64 bytes through XXH3."""
+    size = end - start
+    words = eights(data)
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(np.uint64) * np.uint64(_MULTIPLIER) + np.uint64(seed))
+    for step in range(0, _LONG, 8):
+        some = np.flatnonzero((size > step) & (size <= _LONG)) if step else np.flatnonzero(size <= _LONG)
+        if not len(some):
+            break
+        left = np.minimum(size[some] - step, 8)
+        h[some] = mix(h[some] ^ (words[start[some] + step] & _KEEP[left]))
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(view[int(start[i]) : int(end[i])], seed)
+    return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``size`` bytes at two places hold the same bytes, for each pair of places."""
+    out = np.ones(len(size), bool)
+    one, two = eights(a), eights(b)
+    some, step = np.flatnonzero(size > 0), 0
+    while len(some):
+        left = np.minimum(size[some] - step, 8)
+        same = (one[a_start[some] + step] ^ two[b_start[some] + step]) & _KEEP[left] == 0
+        out[some[~same]] = False
+        step += 8
+        some = some[same & (size[some] > step)]
+    return out
+
+
+def content_hashes(view: memoryview, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """XXH3's 128 bits of the bytes of each range, as two numbers."""
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(view[s:e], 202) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any range of a sequence, from prefix sums."""
+    """Polynomial hashes modulo 2**64 of any range of a sequence, from prefix sums. Different sequences can have equal
+    hashes by construction (long Thue-Morse strings have): for choosing places, never for equality."""
 
     def __init__(self, seed: int):
         state = int(splitmix(seed, 1)[0]) | 1

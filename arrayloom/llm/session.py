@@ -13,13 +13,15 @@ from ..shipping import ship  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         current = jsc.getCheckpointDir()
         if current.isDefined():
             found = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             found = tempfile.mkdtemp(prefix="arrayloom-shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -46,6 +48,24 @@ def discard(table: DataFrame) -> None:
     jvm.System.gc()
 
 
+#: Keys that may count as heavy, and rows that no key needs to be heavy below.
+HEAVY_KEYS, HEAVY_ROWS = 100_000, 4096
+
+
+def join_by_weight(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row for each key; its column ``weight`` is how many of the
+    ``total`` rows have that key, and goes. Keys of more than total / HEAVY_KEYS rows cannot be more than HEAVY_KEYS: those
+    are broadcast and their rows stay where they are. The others join by a shuffle in which no key is large. Keys that
+    are null match nothing."""
+    floor = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    if total <= floor:
+        return rows.join(side.drop(weight), keys)
+    light = side.where(F.col(weight) <= floor).drop(weight)
+    heavy = F.broadcast(side.where(F.col(weight) > floor).drop(weight))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti")
+    return rest.join(light, keys).unionByName(rows.join(heavy, keys))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:
     """The ``n`` rows of smallest hash of a key. Rows are thinned out to about twice as many first, so that what the
     tasks send to the driver does not grow with their number."""

@@ -1,15 +1,15 @@
-"""Substring deduplication over a De Bruijn graph of word k-mers.
+"""Substring deduplication over paths of word windows.
 
-Edges are windows of ``width`` consecutive words, nodes their overlaps. Edges that follow each other in a text and share
-an anchor are a nonbranching path and are kept as one row (see ``spans``). Rows of equal content compact into one path
-whose source is its smallest (doc_id, place); the join by anchor finds paths that branch, and only those are
-opened into single edges again. The source coordinates of a branching path are joined with the texts, and
-its edges compared there by two independent 64-bit hashes, as paths are. A word goes if an edge over it also starts in a document of
+Windows of ``width`` consecutive words that follow each other in a text and share an anchor, a k-mer of words, are kept as
+one row, a path (see ``spans``). Rows of equal content compact into one path whose source is its smallest document.
+A join with the counted anchors drops the anchors that stand once and finds those where paths branch; only branching
+paths are opened into single windows again: the source coordinates of a path are joined with the texts and
+its windows compared there by 128 bits of XXH3, as paths are. A word goes if a window over it also starts in a document of
 smaller id.
 
-Defined cases: null and empty texts have no words; texts under ``width`` words keep all; ids identify documents, and
-rows that repeat an id never remove each other; a row whose id is null keeps all its words and removes none elsewhere.
-Other columns play no part.
+Defined cases: null and empty texts have no words; texts under ``width`` words keep all; rows that repeat an id never remove
+each other, whether their texts are equal or not, and each row is judged by its own text; a row whose id is null keeps
+all its words and removes none elsewhere. Words are compared by 64-bit hashes. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,22 +26,25 @@ from . import spans
 from .session import discard, ship, write_table
 
 WIDTH, KMER = 50, 10
-_ROLL = K.Rolling(53)
 
 
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a block's words, and where each text's words start."""
     starts, ends, first = K.words(data, at, K.WORD_BY_SPACE)
-    return _ROLL.ranges(_ROLL.prefix_bytes(data), starts, ends), first
+    return K.range_hashes(data, starts, ends, 53), first
+
+
+def _units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, memoryview, np.ndarray]:
+    values, first = _words(data, at)
+    return values, memoryview(values).cast("B") if len(values) else memoryview(b""), first
 
 
 def _edges(width: int):
     def cut(data: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
         """The two hashes of each edge of each path."""
-        values, first = _words(data, at)
-        one, two = spans.ONE.prefix(values), spans.TWO.prefix(values)
+        _, raw, first = _units(data, at)
         begin = np.repeat(first[text] + start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        both = np.stack([spans.ONE.ranges(one, begin, begin + width), spans.TWO.ranges(two, begin, begin + width)], axis=1)
+        both = np.stack(K.content_hashes(raw, 8 * begin, 8 * (begin + width)), axis=1)
         ends = np.cumsum(size).tolist()
         return [both[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -58,11 +61,10 @@ def _smaller_source(a: np.ndarray, doc: np.ndarray, wanted: np.ndarray, size: np
     """Whether each edge also starts in a document of smaller id."""
     one, two = _hashes(size, bodies)
     own = np.repeat(doc, size)
-    key = one ^ K.mix(two)
-    order = np.lexsort((own, key))
-    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    order = np.lexsort((own, two, one))
+    head = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
     low = own[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
-    out = np.empty(len(key), bool)
+    out = np.empty(len(one), bool)
     out[order] = low < own[order]
     return out
 
@@ -70,13 +72,13 @@ def _smaller_source(a: np.ndarray, doc: np.ndarray, wanted: np.ndarray, size: np
 def deduplicate(docs: DataFrame, *, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces), and with ``with_text`` those."""
     ship(docs.sparkSession)
-    docs = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
-    settled = spans.settle(spans.paths(docs, _words, width, kmer, True), True)
+    docs = spans.texts(docs, id_col, text_col)
+    settled = spans.settle(spans.paths(docs, _units, width, kmer, True), True)
     rows = write_table(spans.fetch(docs, settled, _edges(width)), "branches")
     opened = spans.refine(rows, _smaller_source).unionByName(spans.single_windows(rows, _hashes, True))
     opened = write_table(opened, "opened")
     discard(rows)
-    whole = settled.where(settled["kind"] == spans.FULL).select("doc_id", "start", "size")
+    whole = settled.where(settled["kind"] == spans.FULL).select("doc_id", "t", "start", "size")
     covered = spans.cover(docs, whole.unionByName(opened))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,7 @@ def deduplicate(docs: DataFrame, *, width: int = WIDTH, kmer: int = KMER, id_col
                 begin, end, first = K.words(data, at, K.WORD_BY_SPACE)
                 text = np.repeat(np.arange(hi - lo), np.diff(where[lo : hi + 1]))
                 own = slice(where[lo], where[hi])
-                s = first[text] + starts[own]
+                s = first[text] + starts[own]  # never beyond the text, whose content the ranges were found in
                 gone = K.covered(s, s + sizes[own] + width - 1, len(begin))
                 raw = data.tobytes()
                 counts, removed, sums, kept = [], [], [], []

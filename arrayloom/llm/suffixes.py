@@ -1,22 +1,19 @@
-"""Byte-level deduplication by minimiser super-windows and grouping by block hashes.
+"""Byte-level deduplication: suffixes grouped by their super-windows, then a merge that refines an interleave.
 
-This stands in place of merged Burrows-Wheeler transforms: no suffix is sorted and no transform is built. The words shard,
-symbol and interleave below are those of such a merge; what runs sorts hashes of the blocks of rows gathered by anchor.
+Repeated strings of ``width`` bytes are intervals of the suffix order whose members share a prefix of ``width`` bytes or
+more. Suffixes whose whole super-window (see ``spans``) repeats are settled by its class, suffixes of an anchor that stands
+once have no partner, and those at anchors where texts branch are merged, an anchor's together.
 
-Repeated strings of ``width`` bytes are repeated intervals of the suffix order: suffixes whose common prefix has
-``width`` bytes or more. Suffixes that share a super-window (see ``spans``) with a common prefix of at least ``width`` bytes
-are settled before the merge; what is left are the suffixes at anchors where texts branch, and those are merged.
-
-The transform is kept at a stride of a quarter of the width: a suffix's symbol in round r is the block before the part
-of it that the rounds so far have sorted. A shard holds the suffixes of the branching paths of one group of
-documents in its own order. The interleave of the shards begins as one interval for each anchor and offset, and
-each round sorts it stably by the next preceding block, within the intervals of the round before: intervals split,
-lengths of common prefixes are the rounds that suffixes stay together, and suffixes alone in an interval leave. What is together after four
-rounds is a repeated interval. No round sorts whole suffixes.
+The merge reads eight bytes as one symbol. Shards are the branching rows of ranges of documents. Their interleave is
+refined by rounds: each moves all suffixes one symbol to the left and sorts stably by that symbol, so the order
+of the rounds before is kept, intervals split, and suffixes alone in an interval leave. What is together after width / 8
+rounds is a repeated interval; how many rounds a suffix stays is its common prefix. Bytes are compared, not hashes.
+It is the interleave refinement of a merge of Burrows-Wheeler transforms, over rows that still have their text in place of
+the transforms: no shard is sorted in full (the README has the figures that decided this).
 
 Defined cases: null and empty texts have no bytes; texts under ``width`` bytes keep all; rows that repeat an id count
-as places of their own; a row whose id is null keeps all its bytes and removes none elsewhere. Other columns play no
-part. Removed bytes may cut a character; the kept bytes are given as they are.
+as places of their own, and each is judged by its own text; a row whose id is null keeps all its bytes and removes none
+elsewhere. Other columns play no part. Removed bytes may cut a character; the kept bytes are given as they are.
 """
 
 from __future__ import annotations
@@ -32,12 +29,14 @@ from . import kernels as K
 from . import spans
 from .session import discard, ship, write_table
 
-WIDTH, KMER, ROUNDS = 200, 64, 4
+WIDTH, KMER = 200, 64
+#: Bytes that a round of the merge reads at once.
+SYMBOL = 8
 _VALUES = K.splitmix(77, 256)
 
 
-def _bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _VALUES[data], at
+def _bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, memoryview, np.ndarray]:
+    return _VALUES[data], memoryview(np.ascontiguousarray(data)), at
 
 
 def _strings(width: int):
@@ -57,45 +56,59 @@ def _places(size: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _hashes(width: int):
     def both(size: np.ndarray, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, at = K.buffers(bodies)
-        values, place = _VALUES[data[at[0] : at[-1]]], _places(size, at - at[0])
-        return spans.ONE.ranges(spans.ONE.prefix(values), place, place + width), spans.TWO.ranges(spans.TWO.prefix(values), place, place + width)
+        place = _places(size, at)
+        return K.content_hashes(memoryview(data), place, place + width)
 
     return both
 
 
 class Shard:
-    """The suffixes of some rows: their intervals before the merge, and the block symbols that precede them by round."""
+    """The suffixes that start ``width`` bytes behind the windows of some rows. ``symbols(r, some)`` are the eight bytes
+    before the part of each that r rounds have sorted, as numbers that compare like the bytes."""
 
-    def __init__(self, interval: np.ndarray, place: np.ndarray, prefix: np.ndarray, width: int):
-        block = width // ROUNDS
-        self.interval = interval
-        self.symbols = [spans.ONE.ranges(prefix, place + width - (r + 1) * block, place + width - r * block) for r in range(ROUNDS)]
+    def __init__(self, anchor: np.ndarray, place: np.ndarray, eights: np.ndarray, width: int):
+        self.anchor, self.end, self.eights = anchor, place + width, eights
 
     def __len__(self) -> int:
-        return len(self.interval)
+        return len(self.anchor)
+
+    def symbols(self, r: int, some: np.ndarray) -> np.ndarray:
+        return self.eights[self.end[some] - SYMBOL * (r + 1)].byteswap()
+
 
+def merge(shards: list[Shard], rounds: int) -> np.ndarray:
+    """Merge shards by refining their interleave: the length of the longest common prefix of each window with any other
+    of its anchor's, counted in bytes of whole symbols from its end. Windows are numbered shard by shard.
 
-def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
-    """Merge shards by refining their interleave. Gives the length of the longest common prefix of each suffix with any
-    other, in blocks, and the interval each suffix was in last; suffixes are numbered shard by shard."""
+    The interleave begins shard by shard within each anchor. A round moves every suffix one symbol to the left and sorts the
+    interleave stably by those symbols, so that it is in the order of all symbols read so far; neighbours that agree
+    in the new symbol and were in one interval make an interval again. A suffix alone in its interval leaves.
+    """
     total = sum(map(len, shards))
-    common = np.zeros(total, np.int8)
-    interval = np.concatenate([s.interval for s in shards]) if shards else np.zeros(0, np.uint64)
-    interleave = np.arange(total)
-    for r in range(ROUNDS):
-        if not len(interleave):
-            break
-        symbol = np.concatenate([s.symbols[r] for s in shards])[interleave]
-        with np.errstate(over="ignore"):
-            key = K.mix(interval[interleave] * np.uint64(0x9E3779B97F4A7C15) + symbol)
-        order = np.argsort(key, kind="stable")
-        key, interleave = key[order], interleave[order]
-        same = key[1:] == key[:-1]
+    common = np.zeros(total, np.int64)
+    if not total:
+        return common
+    anchor = np.concatenate([s.anchor for s in shards])
+    interleave = np.argsort(anchor, kind="stable")
+    interval = np.cumsum(np.concatenate(([True], np.diff(anchor[interleave]) != 0)))
+    sizes = np.cumsum([len(s) for s in shards])
+    for r in range(rounds + 1):
+        same = interval[1:] == interval[:-1]
         together = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        key, interleave = key[together], interleave[together]
-        interval[interleave] = key
-        common[interleave] = r + 1
-    return common, interval
+        interleave, interval = interleave[together], interval[together]
+        common[interleave] = SYMBOL * r
+        if r == rounds or not len(interleave):
+            return common
+        symbol = np.empty(len(interleave), np.uint64)
+        owner = np.searchsorted(sizes, interleave, "right")
+        for i, shard in enumerate(shards):
+            own = np.flatnonzero(owner == i)
+            if len(own):
+                symbol[own] = shard.symbols(r, interleave[own] - (sizes[i] - len(shard)))
+        order = np.argsort(symbol, kind="stable")
+        symbol, interval, interleave = symbol[order], interval[order], interleave[order]
+        interval = np.cumsum(np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]))))
+    return common
 
 
 def _repeated(width: int, shard_bytes: int = 1 << 20):
@@ -107,19 +120,16 @@ def _repeated(width: int, shard_bytes: int = 1 << 20):
         order = np.argsort(doc, kind="stable")  # a shard has the rows of a range of documents
         cut = np.searchsorted(np.cumsum(np.diff(at)[order]), np.arange(0, max(1, len(data)), shard_bytes))
         groups = [g for g in np.split(order, np.unique(cut[1:])) if len(g)]
-        one = spans.ONE.prefix(_VALUES[data])
-        ends = np.cumsum(size)
+        eights, ends = K.eights(data), np.cumsum(size)
         shards, numbers = [], []
         for rows in groups:
             n = size[rows]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            # equal windows have equal anchors; how far the anchor lies from a window's start follows from its content
-            shards.append(Shard(np.repeat(a[rows].view(np.uint64), n), np.repeat(at[:-1][rows], n) + inner, one, width))
+            shards.append(Shard(np.repeat(a[rows], n), np.repeat(at[:-1][rows], n) + inner, eights, width))
             numbers.append(np.repeat((ends - size)[rows], n) + inner)
-        common, _ = merge(shards)
         out = np.zeros(int(size.sum()), bool)
         if numbers:
-            out[np.concatenate(numbers)] = common == ROUNDS
+            out[np.concatenate(numbers)] = merge(shards, width // SYMBOL) == width
         return out
 
     return decide
@@ -127,16 +137,16 @@ def _repeated(width: int, shard_bytes: int = 1 << 20):
 
 def deduplicate(docs: DataFrame, *, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the kept bytes."""
-    if width % ROUNDS or not 0 < kmer < width:
-        raise ValueError(f"width must be a multiple of {ROUNDS} and larger than kmer")
+    if width % SYMBOL or not 0 < kmer < width:
+        raise ValueError(f"width must be a multiple of {SYMBOL} and larger than kmer")
     ship(docs.sparkSession)
-    docs = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
+    docs = spans.texts(docs, id_col, text_col)
     settled = spans.settle(spans.paths(docs, _bytes, width, kmer, False), False)
     rows = write_table(spans.fetch(docs, settled, _strings(width)), "branches")
     opened = spans.refine(rows, _repeated(width)).unionByName(spans.single_windows(rows, _hashes(width), False))
     opened = write_table(opened, "opened")
     discard(rows)
-    whole = settled.where(settled["kind"] == spans.FULL).select("doc_id", "start", "size")
+    whole = settled.where(settled["kind"] == spans.FULL).select("doc_id", "t", "start", "size")
     covered = spans.cover(docs, whole.unionByName(opened))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

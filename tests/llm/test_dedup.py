@@ -1,10 +1,12 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from arrayloom.llm import simhash, spans, substring, suffixes
+from arrayloom.llm import kernels as K
+from arrayloom.llm import session, simhash, spans, substring, suffixes
 
 SCHEMA = "doc_id bigint, text string, start int, rows string"  # further columns whose names the operators use themselves
 
@@ -82,11 +84,81 @@ def test_bytes_equal_brute_force(spark, monkeypatch, crowded):
 
 
 def test_merge_of_shards_finds_common_prefixes():
-    data = np.frombuffer(b"abcdefgh" * 2 + b"abcdXfgh", np.uint8)
-    prefix = spans.ONE.prefix(suffixes._VALUES[data])
-    one = suffixes.Shard(np.zeros(2, np.uint64), np.array([0, 8]), prefix, 8)
-    two = suffixes.Shard(np.zeros(1, np.uint64), np.array([16]), prefix, 8)
-    assert suffixes.merge([one, two])[0].tolist() == [4, 4, 1]  # the last differs in the second block from its end
+    data = np.frombuffer(b"abcdefghABCDEFGH" * 2 + b"abcXefghABCDEFGH", np.uint8)
+    eights = K.eights(data)
+    one = suffixes.Shard(np.zeros(2, np.int64), np.array([0, 16]), eights, 16)
+    two = suffixes.Shard(np.zeros(1, np.int64), np.array([32]), eights, 16)
+    assert suffixes.merge([one, two], 2).tolist() == [16, 16, 8]  # the last differs in the symbol before its last
+    other = suffixes.Shard(np.ones(1, np.int64), np.array([32]), eights, 16)
+    assert suffixes.merge([one, other], 2).tolist() == [16, 16, 0] and suffixes.merge([], 2).tolist() == []
+
+
+def thue_morse(n, one, two):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return [two if b else one for b in bits[:n]]
+
+
+def repeated_ids():
+    """Equal ids with different texts, in one block and in others, and strings whose polynomial hashes collide."""
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    a, b, c = some(80), some(100), some(300)
+    docs = [(1, a), (2, a), (2, "short"), (2, b), (2, None), (3, c), (3, c), (4, c + " " + a), (5, "x"), (5, c[:1500])]
+    docs += [(6, " ".join(thue_morse(2048, "p", "q"))), (7, " ".join(thue_morse(2048, "q", "p"))), (8, "".join(thue_morse(2048, "x", "y")) + " " + " ".join(b.split()[:49])), (9, "".join(thue_morse(2048, "y", "x")) + " " + " ".join(b.split()[:49]))]
+    return docs
+
+
+@pytest.mark.parametrize(("crowded", "heavy", "lot"), [(4096, 4096, 10_000), (1, 0, 2)])
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(spark, monkeypatch, crowded, heavy, lot):
+    monkeypatch.setattr(spans, "CROWDED", crowded)
+    monkeypatch.setattr(session, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(session, "HEAVY_KEYS", 1 if heavy else 100_000)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, lot)
+    texts = repeated_ids()
+    try:
+        docs = table(spark, texts).repartition(1)
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicate(docs).collect())
+        low = {}
+        for i, t in texts:
+            w = (t or "").split()
+            for k in range(len(w) - 49):
+                low[tuple(w[k : k + 50])] = min(low.get(tuple(w[k : k + 50]), i), i)
+        want = []
+        for i, t in texts:
+            w = (t or "").split()
+            gone = np.zeros(len(w), bool)
+            for k in range(len(w) - 49):
+                if low[tuple(w[k : k + 50])] < i:
+                    gone[k : k + 50] = True
+            want.append((i, len(w), int(gone.sum()), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+        assert got == sorted(want)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.deduplicate(docs).collect())
+        seen = Counter(t[k : k + 200] for _, t in texts if t for k in range(len(t) - 199))
+        want = []
+        for i, t in texts:
+            b = np.frombuffer((t or "").encode(), np.uint8)
+            gone = np.zeros(len(b), bool)
+            for k in range(len(b) - 199):
+                if seen[t[k : k + 200]] > 1:
+                    gone[k : k + 200] = True
+            want.append((i, len(b), int(gone.sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest()))
+        assert got == sorted(want)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_hashes_of_words_do_not_collide_by_construction():
+    words = [w.encode() for pair in (("x", "y"), ("ab", "ba")) for n in (256, 1024, 2048) for w in ("".join(thue_morse(n, *pair)), "".join(thue_morse(n, *pair[::-1])))]
+    words += [b"", b"a", b"a\0", b"\0", b"a" * 63, b"a" * 64, b"a" * 65]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    h = K.range_hashes(data, ends - [len(w) for w in words], ends, 53)
+    assert len(set(h.tolist())) == len(words)
+    again = K.range_hashes(np.frombuffer(b"zz" + words[0], np.uint8), np.array([2]), np.array([2 + len(words[0])]), 53)
+    assert again[0] == h[0]
 
 
 def test_no_rows(spark):
