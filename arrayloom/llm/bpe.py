@@ -2,7 +2,8 @@
 
 Tier one is a minimal perfect hash of the vocabulary: whole pre-tokens that are tokens already are resolved for a
 block of texts at once. Tier two merges the other pre-tokens with a heap of ranked pairs over linked bytes; each
-distinct pre-token is merged once and remembered by the Python worker, in a store of bounded size.
+distinct pre-token is merged once and remembered by the Python worker, in a store of bounded size. Both look-ups go by a
+64-bit hash and then compare the bytes; a pre-token whose hash is another's is merged by itself.
 
 Defined cases: a null or empty text has no tokens; hashes of nothing are those of the empty string. Columns other than
 the id and the text play no part. Texts are encoded whole.
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 from .session import ship
 
-_ROLL = K.Rolling(71)
+_SEED = 71
 _EMPTY = 0xFFFFFFFF
 #: Merged pre-tokens that a worker's store may hold before it starts anew with those of the block at hand.
 STORE_ENTRIES = 2_500_000
+#: Bytes of pre-tokens that it may hold, likewise; a block's own always fit.
+STORE_BYTES = 64 << 20
 #: Code points with Unicode's White_Space property (fixed values).
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -194,7 +197,7 @@ def perfect_hash(tokens: list[bytes]) -> PerfectHash:
     """The perfect hash of a vocabulary."""
     data = np.frombuffer(b"".join(tokens), np.uint8)
     ends = np.cumsum([len(t) for t in tokens])
-    return PerfectHash(_ROLL.ranges(_ROLL.prefix_bytes(data), np.concatenate(([0], ends[:-1])), ends))
+    return PerfectHash(K.range_hashes(data, np.concatenate(([0], ends[:-1])), ends, _SEED))
 
 
 class Encoder:
@@ -220,17 +223,26 @@ class Encoder:
         self.place = np.zeros(0, np.int32)
         self.count = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
+        self.text = np.zeros(0, np.uint8)  # the known pre-tokens themselves
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> None:
-        data = np.frombuffer(raw, np.uint8)
+    def _merge(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> list[list[int]]:
+        raw = data.tobytes()
         pair = self.pair[data[:-1].astype(np.int32) << 8 | data[1:]]
-        ranks = self.ranks
-        found = [merge(raw[s:e], pair[s : e - 1].tolist(), ranks) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return [merge(raw[s:e], pair[s : e - 1].tolist(), self.ranks) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> None:
+        found = self._merge(starts, ends, data)
         counts = np.fromiter(map(len, found), np.int32, len(found))
         place = len(self.pool) + np.concatenate(([0], np.cumsum(counts)[:-1]))
         self.pool = np.concatenate([self.pool, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))])
+        size = ends - starts
+        at = len(self.text) + np.cumsum(size) - size
+        self.text = np.concatenate([self.text, *[data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]])
         into = np.searchsorted(self.known, keys)
         self.known, self.place, self.count = np.insert(self.known, into, keys), np.insert(self.place, into, place), np.insert(self.count, into, counts)
+        self.at, self.size = np.insert(self.at, into, at), np.insert(self.size, into, size)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of a block of texts, and where each text's ids start."""
@@ -238,32 +250,44 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         ends = np.append(starts[1:], len(data))
-        keys = _ROLL.ranges(_ROLL.prefix_bytes(data), starts, ends)
+        size = ends - starts
+        keys = K.range_hashes(data, starts, ends, _SEED)
         ids = self.perfect.find(keys)
-        ids[self.lengths[ids] != ends - starts] = -1
+        ids[self.lengths[ids] != size] = -1
+        hit = np.flatnonzero(ids >= 0)
+        ids[hit[~K.same_bytes(data, starts[hit], self.bytes, self.starts[ids[hit]], size[hit])]] = -1
         missed = np.flatnonzero(ids < 0)
         counts = np.ones(len(starts), np.int64)
+        odd = np.zeros(0, np.int64)  # pre-tokens whose hash is that of another one in the store
         if len(missed):
             own, one, back = np.unique(keys[missed], return_index=True, return_inverse=True)
             spot = np.searchsorted(self.known, own)
             new = self.known[np.minimum(spot, len(self.known) - 1)] != own if len(self.known) else np.ones(len(own), bool)
             if new.any():
-                if len(self.known) + int(new.sum()) > STORE_ENTRIES:
+                if len(self.known) + int(new.sum()) > STORE_ENTRIES or len(self.text) + int(size[missed[one[new]]].sum()) > STORE_BYTES:
                     self._forget()
                     new[:] = True
                 at_new = missed[one[new]]
-                self._learn(own[new], starts[at_new], ends[at_new], data.tobytes())
+                self._learn(own[new], starts[at_new], ends[at_new], data)
                 spot = np.searchsorted(self.known, own)
-            counts[missed] = self.count[spot][back]
+            spot = spot[back]
+            same = self.size[spot] == size[missed]
+            same[same] = K.same_bytes(data, starts[missed[same]], self.text, self.at[spot[same]], size[missed[same]])
+            odd, missed, spot = missed[~same], missed[same], spot[same]
+            counts[missed] = self.count[spot]
+        merged = self._merge(starts[odd], ends[odd], data) if len(odd) else []
+        counts[odd] = [len(x) for x in merged]
         total = np.cumsum(counts)
         begin = total - counts
         out = np.empty(int(total[-1]), np.int32)
         hit = ids >= 0
         out[begin[hit]] = ids[hit]
         if len(missed):
-            n, place = counts[missed], self.place[spot][back]
+            n, place = counts[missed], self.place[spot]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             out[np.repeat(begin[missed], n) + inner] = self.pool[np.repeat(place, n) + inner]
+        for i, found in zip(odd.tolist(), merged, strict=True):
+            out[begin[i] : begin[i] + len(found)] = found
         return out, np.append(begin, total[-1])[first]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from arrayloom.llm import bpe, decontaminate, langid, neighbours, pii, quality, urls
+from arrayloom.llm import kernels as K
 
 TEXTS = [(1, "Plain words here, don't they'll 12 é."), (2, None), (3, ""), (4, "a  b\n\n c\t"), (5, "中文 😀's 'll"), (6, "x" * 3000), (7, "  "), (7, "  ")]
 
@@ -28,6 +29,33 @@ def test_tokens_equal_tiktoken_and_round_trip(spark):
     assert bpe.encode_documents(table(spark, []), path).count() == 0
 
 
+def test_random_texts_are_encoded_as_tiktoken_does(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = bpe.load_ranks(path)
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rng = np.random.default_rng(12)
+    letters = [*"abcdeXYZ  \n\t'0123.,!-_é", "中", "文", "😀", "ß", "\u0301", "'s", "'ll", "ing", " the"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 200)))) for _ in range(300)]
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    for n in (1024, 2048, 4096):  # pre-tokens that polynomial hashes modulo 2**64 cannot tell apart
+        one = "".join("xy"[b] for b in bits[:n])
+        texts.append(one + "\n" + one.translate(str.maketrans("xy", "yx")))
+    enc = bpe.Encoder(tokens)
+    for collide in (False, True):
+        if collide:  # all pre-tokens of a length have one hash
+            monkeypatch.setattr(K, "range_hashes", lambda data, start, end, seed: (end - start).astype(np.uint64) * np.uint64(3))
+            perfect = enc.perfect
+            perfect.find = lambda keys: np.full(len(keys), 300)
+            enc = bpe.Encoder(tokens, perfect)
+        raw = [t.encode() for t in texts]
+        ids, first = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+        for t, s, e in zip(texts, first[:-1], first[1:], strict=True):
+            assert ids[s:e].tolist() == ref.encode_ordinary(t)
+            assert enc.decode(ids[s:e]).tobytes() == t.encode()
+
+
 def test_a_full_store_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "STORE_ENTRIES", 3)
     tokens = [bytes([i]) for i in range(256)] + [b"ab", b"abc"]
@@ -134,6 +162,21 @@ def test_pii_windows_reach_the_ends_of_words():
     assert pii.regions("a" * 99) == [] and pii.regions("b" * 99 + " 5 " + "c" * 99) == [(76, 125)]
 
 
+@pytest.mark.parametrize("block", [2_000_000, 30])
+def test_long_items_and_words_that_nearly_collide(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one = "".join("xy"[b] for b in bits)
+    two = one.translate(str.maketrans("xy", "yx"))
+    long = " ".join(f"w{i}" for i in range(100))
+    items = spark.createDataFrame([(1, one), (2, long), (None, "z")], "item_id bigint, text string")
+    docs = [(1, two), (2, one), (3, "a " + " ".join(f"w{i}" for i in range(40, 60)) + " b"), (4, " ".join(f"w{i}" for i in range(90, 97))), (5, "z " * 50_000)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(table(spark, docs), items).collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 1, 1), 3: (22, 20, 1), 4: (7, 0, 0), 5: (50_000, 0, 0)}
+
+
 @pytest.mark.parametrize("block", [2_000_000, 3])
 def test_contamination_of_a_table_united_with_itself(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
