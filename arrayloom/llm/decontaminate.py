@@ -5,10 +5,12 @@ where it stands (a document-partitioned index, written as a table). A benchmark
 its terms' lists, shifted by each term's offset and intersected from the rarest term on; ``phrase_matches`` gives exact
 phrases, ``proximity_matches`` all terms within a span. The index is read once for each block of benchmark items;
 blocks have a bounded number of words and are sent to the executors one after another.
+Terms are compared by 64-bit hashes.
 
 Words: A-Z is lower-cased, then runs of digits, a-z and characters beyond ASCII.
 Defined cases: a null or empty text has no words and no hits; an item without words has no window; repeated items and
-repeated windows count once for an item id; repeated documents give a row each. Other columns play no part.
+repeated windows count once for an item id, and an item whose id is null has none; repeated documents give a row each.
+Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import ship, write_table
 
-_ROLL = K.Rolling(29)
+_SEED = 29
 WINDOW = 8
 #: Words of benchmark items that are sent to the executors at a time.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 _INDEX = "segment string, doc_ids array<bigint>, word_at binary, terms binary, term_at binary, places binary"
 
 
@@ -36,7 +38,7 @@ def term_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hashes of the words of a block of texts, and for each text where its words start."""
     low = K.LOWER[data]
     starts, ends, first = K.words(low, at, K.WORD_ALNUM)
-    return _ROLL.ranges(_ROLL.prefix_bytes(low), starts, ends), first
+    return K.range_hashes(low, starts, ends, _SEED), first
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,28 +154,42 @@ class Segment:
         return both[:, 0], both[:, 1]
 
 
-def item_windows(texts: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[np.ndarray, list[list[int]]]]:
-    """By length: the distinct windows (hashes of their terms) and the sorted ids of the items that have each."""
-    column = pa.array([t for _, t in texts], pa.large_string())
-    data, at = K.buffers(column)
-    if not len(texts):
-        return {}
-    terms, first = term_hashes(data[at[0] : at[-1]], at - at[0])
+def item_windows(items: list[tuple[int, bytes]], window: int = WINDOW) -> dict[int, tuple[np.ndarray, list[list[int]]]]:
+    """By length: the distinct windows (hashes of their terms) and the sorted ids of the items that have each. ``items``
+    have runs of terms that overlap by a window less one."""
     owners: dict[int, dict[bytes, set[int]]] = {}
-    for (item, _), s, e in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
-        size = min(window, e - s)
-        for i in range(s, e - size + 1) if size else ():
-            owners.setdefault(size, {}).setdefault(terms[i : i + size].tobytes(), set()).add(item)
+    for item, raw in items:
+        n = len(raw) // 8
+        size = min(window, n)
+        for i in range(n - size + 1) if size else ():
+            owners.setdefault(size, {}).setdefault(raw[8 * i : 8 * (i + size)], set()).add(item)
     return {size: (np.frombuffer(b"".join(own), np.uint64).reshape(-1, size), [sorted(x) for x in own.values()]) for size, own in owners.items()}
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
-    """Blocks of items with about BLOCK_WORDS words each, collected one at a time."""
-    letters = items.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    n = 1 + int(letters) // (4 * BLOCK_WORDS)
+def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> Iterator[list[tuple[int, bytes]]]:
+    """Blocks of items of about BLOCK_WORDS words each, as hashes of their terms, collected one block at a time. The words
+    are counted; an item of more than a piece's words is cut into pieces that overlap by a window less one word, so a
+    block's size does not depend on the longest item."""
+    ship(items.sparkSession)
+    piece = max(window, min(BLOCK_WORDS // 8, 1 << 16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in K.blocks(batch.column(1)):
+                terms, first = term_hashes(data, at)
+                ids, own, bodies = batch.column(0).slice(lo, hi - lo).to_pylist(), [], []
+                for item, s, e in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    for p in range(s, max(s + 1, e - window + 1), piece) if e > s and item is not None else ():
+                        own.append(item)
+                        bodies.append(terms[p : min(e, p + piece + window - 1)].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(x) // 8 for x in bodies], pa.int64()), pa.array(bodies, pa.binary())], ["item", "n", "body"])
+
+    pieces = items.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "item bigint, n bigint, body binary")
+    pieces = write_table(pieces, "items")
+    n = 1 + int(pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BLOCK_WORDS
     for k in range(n):
-        own = items.select(id_col, text_col) if n == 1 else items.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == k).select(id_col, text_col)
-        yield [(r[0], r[1]) for r in own.collect()]
+        own = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k)
+        yield [(r[0], bytes(r[1])) for r in own.select("item", "body").collect()]
 
 
 def _search(index: DataFrame, windows: dict, finish: bool) -> DataFrame:
