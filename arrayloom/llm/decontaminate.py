@@ -264,6 +264,15 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return grouped.select("doc_id", "n_words", "hits", "items").mapInArrow(merge, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, *, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents in which windows of fewer than ``least`` items stand, with all their columns. Documents are told apart by
+    a hash of id and text, so rows with one id and different texts are judged by their own."""
+    row = F.xxhash64(id_col, text_col)
+    found = contamination(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), items, id_col="_row", text_col="_text")
+    hit = write_table(found.where(F.col("n_items") >= least).select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return docs.join(hit, row == hit["_row"], "left_anti")
+
+
 def _locate(index: DataFrame, phrases: dict[int, str], find) -> DataFrame:
     """Rows (doc_id, phrase_id, position) of what ``find`` gives for phrases of one length at a time."""
     by_size: dict[int, list[tuple[int, np.ndarray]]] = {}

@@ -7,8 +7,12 @@ estimated on a bounded sample. Each fingerprint is filed under the keys that its
 share a key are compared. A walk over a key's members takes every member within the radius of one already reached out
 of the rest, so a dense group costs about its size and yields a spanning forest, not its pairs.
 
+A key that too many fingerprints share is filed anew by slices of the bits that it leaves open, as often as needed, so every
+group that a task holds is bounded.
+
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other. Repeated rows and ties add
-nothing. Columns other than the id and the text play no part.
+nothing. A row whose id is null names no group: its group is that of the smallest other id, or null without one.
+Columns other than the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .session import hash_sample, ship, write_table
+from .session import hash_sample, join_by_weight, ship, write_table
 
 SEED = 42
 BITS = 64
 #: Fingerprints that the bit statistics and the estimates of candidates are taken from; a bound of the driver's memory.
 SAMPLE = 4096
-#: A key with more members than this is filed anew under finer keys, so that no task gets an unbounded group.
+#: A key with more members than this is filed anew under finer keys.
 FINE = 4096
 
 
@@ -55,8 +59,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int((2 * total > len(hashes)).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", tagged: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed bigint; with ``tagged`` also t, a hash of the text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +68,12 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             data, at = K.buffers(batch.column(1))
             view = memoryview(data)
             found = [fingerprint(bytes(view[s:e]), shingle) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            cols = [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "t"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    own = docs.select(id_col, text_col, *[F.xxhash64(text_col).alias("_t")] * tagged)
+    return own.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", t bigint" * tagged)
 
 
 def correlated_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -174,6 +180,23 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def open_bits(path: int, radius: int) -> list[list[int]]:
+    """The slices of the bits that a path of refilings leaves open. A path is a number in base radius + 2: its digits,
+    from the first, are one more than the slices that were taken."""
+    digits = []
+    while path:
+        path, digit = divmod(path, radius + 2)
+        digits.append(digit - 1)
+    free = list(range(BITS))
+    for digit in reversed(digits):
+        taken = set(free[digit :: radius + 1])
+        free = [b for b in free if b not in taken]
+    return [free[i :: radius + 1] for i in range(radius + 1)]
+
+
+_KEYED = "key bigint, path bigint, node bigint, fp bigint"
+
+
 def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int) -> DataFrame:
     """(a, b): links that connect what lies within the radius. ``nodes`` has node bigint and fp bigint, distinct."""
     parts = [(g, group, filed(len(group), t)) for g, (group, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
@@ -186,24 +209,28 @@ def links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radi
                 take = np.repeat(np.arange(len(fps)), len(masks))
                 for lo in range(0, len(keys), 100_000):
                     at = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), batch.column(0).take(pa.array(take[at])), batch.column(1).take(pa.array(take[at]))], ["key", "node", "fp"])
-
-    keyed = nodes.select("node", "fp").mapInArrow(file, "key bigint, node bigint, fp bigint")
-    first = write_table(_walk(keyed, radius, FINE), "links")
-    crowded = first.where("key IS NOT NULL").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
-    again = _walk(crowded, radius, None)
-    return first.where("key IS NULL").select("a", "b").union(again.select("a", "b")).distinct()
-
-
-def _walk(keyed: DataFrame, radius: int, fine: int | None) -> DataFrame:
-    """(a, b, key): links among the members of each key, with a null key. A key with more than ``fine`` members comes
-    back instead: its members (a: node, b: fingerprint) under finer keys, one for each of radius + 1 slices of the
-    bits, since two fingerprints within the radius agree in one. No more than that many members are held at once."""
-    width = BITS // (radius + 1)
-    rest = np.uint64((1 << width) - 1 if width < 64 else 2**64 - 1)
+                    own = pa.array(take[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(np.zeros(len(own), np.int64)), batch.column(0).take(own), batch.column(1).take(own)], ["key", "path", "node", "fp"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(file, _KEYED)
+    found = None
+    while True:
+        # a group of b open bits has at most 2**b fingerprints and each round closes a slice of them, so rounds end
+        walked = write_table(_walk(keyed, radius, FINE), "links")
+        own = walked.where("path IS NULL").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+        found = own if found is None else found.union(own)
+        keyed = walked.where("path IS NOT NULL")
+        if keyed.isEmpty():
+            return found.distinct()
+
+
+def _walk(keyed: DataFrame, radius: int, fine: int) -> DataFrame:
+    """Links among the members of each key (node, fp: the two nodes; key and path null). A key with more than ``fine`` members
+    comes back instead: its members under finer keys, one for each of radius + 1 slices of the bits that are open,
+    since two fingerprints within the radius agree in one. Little more than that many members are held at once."""
 
     def links_of(rows: np.ndarray) -> pa.RecordBatch:
-        keys, nodes_, fps = rows
+        keys, _, nodes_, fps = rows
         prints = fps.view(np.uint64)
         edges: list[np.ndarray] = []
         cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -216,19 +243,29 @@ def _walk(keyed: DataFrame, radius: int, fine: int | None) -> DataFrame:
             if own:
                 edges.append(nodes_[s : s + n][np.array(own)])
         both = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], ["a", "b", "key"])
+        none = pa.nulls(len(both), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(both[:, 0]), pa.array(both[:, 1])], ["key", "path", "node", "fp"])
 
     def refiled(rows: np.ndarray) -> pa.RecordBatch:
-        keys, nodes_, fps = rows
-        parts = [K.mix(K.mix(keys.view(np.uint64)) + np.uint64(i + 1) + ((fps.view(np.uint64) >> np.uint64(i * width)) & rest)) for i in range(radius + 1)]
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(nodes_, len(parts))), pa.array(np.tile(fps, len(parts))), pa.array(np.concatenate(parts).view(np.int64))], ["a", "b", "key"])
+        keys, paths, nodes_, fps = rows
+        out: list[list[np.ndarray]] = [[], []]
+        nodes_out, prints_out = [], []
+        for path in np.unique(paths).tolist():
+            own = paths == path
+            for i, bits in enumerate(open_bits(path, radius)):
+                if bits or i == 0:
+                    out[0].append(K.mix(K.mix(keys[own].view(np.uint64) + np.uint64(i + 1)) ^ project(fps[own].view(np.uint64), bits)).view(np.int64))
+                    out[1].append(np.full(int(own.sum()), path * (radius + 2) + i + 1))
+                    nodes_out.append(nodes_[own])
+                    prints_out.append(fps[own])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (*out, nodes_out, prints_out)], ["key", "path", "node", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowd = np.zeros((3, 0), np.int64), None
+        held, crowd = np.zeros((4, 0), np.int64), None
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.array([batch.column(i).to_numpy() for i in range(3)])
+            rows = np.array([batch.column(i).to_numpy() for i in range(4)])
             if crowd is not None:  # more of the crowded key
                 n = int(np.searchsorted(rows[0], crowd, "right"))
                 if n:
@@ -239,7 +276,7 @@ def _walk(keyed: DataFrame, radius: int, fine: int | None) -> DataFrame:
                 crowd = None
             held = np.concatenate([held, rows], axis=1)
             keys, sizes = np.unique(held[0], return_counts=True)
-            if fine is not None and (sizes > fine).any():
+            if (sizes > fine).any():
                 many = np.repeat(sizes > fine, sizes)
                 yield refiled(np.ascontiguousarray(held[:, many]))
                 crowd = keys[-1] if sizes[-1] > fine else None
@@ -252,19 +289,48 @@ def _walk(keyed: DataFrame, radius: int, fine: int | None) -> DataFrame:
             yield links_of(np.ascontiguousarray(held))
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, key bigint")
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, _KEYED)
+
+
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, n (rows that have it), its group and component_id for each fingerprint of the written (doc_id, fp, ...)."""
+    nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
+    total = nodes.count()
+    sample = np.array([r[0] for r in hash_sample(nodes.select("fp"), "fp", SAMPLE, total).collect()], np.int64).view(np.uint64)
+    groups, thresholds = plan(sample, total, radius)
+    # a fingerprint is its own node; a component's id is the smallest one of its fingerprints' rows
+    found = connected_components(links(nodes.select(F.col("fp").alias("node"), "fp"), groups, thresholds, radius))
+    linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
+    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    linked = join_by_weight(linked.select("fp", "component"), lows, ["component"], "members", total).withColumnRenamed("component_id", "joined")
+    return nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("group"), F.coalesce("joined", "low").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links of at most
     ``radius`` differing bits."""
-    spark = docs.sparkSession
     prints = write_table(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
-    nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    total = nodes.count()
-    sample = np.array([r[0] for r in hash_sample(nodes.select("fp"), "fp", SAMPLE, total).collect()], np.int64).view(np.uint64)
-    groups, thresholds = plan(sample, total, radius)
-    found = connected_components(links(nodes, groups, thresholds, radius))
-    merged = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(merged, "fp")
+    out = join_by_weight(prints, write_table(_grouped(prints, radius), "groups"), ["fp"], "n", prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each near-duplicate group, with all its columns: that of the smallest id, of several rows with this
+    id the one whose text has the smallest hash, and of rows that are equal in id and text one. Rows without an id stay."""
+    tag = F.xxhash64(text_col)
+    keyed = docs.where(F.col(id_col).isNotNull())
+    prints = write_table(fingerprints(keyed, shingle=shingle, id_col=id_col, text_col=text_col, tagged=True), "fingerprints")
+    each = join_by_weight(prints, write_table(_grouped(prints, radius), "groups"), ["fp"], "n", prints.count())
+    first = each.where("doc_id = component_id").groupBy("group", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
+    first = first.groupBy("group").agg(F.min(F.struct("t", "doc_id", "rows")).alias("first")).select("first.*")
+    first = write_table(first, "kept")
+    once = _semi(keyed, first.where("rows = 1"), id_col, tag)
+    out = once
+    if not first.where("rows > 1").isEmpty():
+        out = once.unionByName(_semi(keyed, first.where("rows > 1"), id_col, tag).withColumn("_t", tag).dropDuplicates([id_col, "_t"]).drop("_t"))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _semi(docs: DataFrame, keys: DataFrame, id_col: str, tag) -> DataFrame:
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).hint("shuffle_hash")
+    return docs.join(keys, (docs[id_col] == F.col("_id")) & (tag == F.col("_t")), "left_semi")

@@ -175,9 +175,10 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("fine", [4096, 2])
-def test_simhash_groups_equal_brute_force(spark, monkeypatch, fine):
+@pytest.mark.parametrize(("fine", "heavy"), [(4096, 4096), (2, 0)])
+def test_simhash_groups_equal_brute_force(spark, monkeypatch, fine, heavy):
     monkeypatch.setattr(simhash, "FINE", fine)
+    monkeypatch.setattr(session, "HEAVY_ROWS", heavy)
     rng = np.random.default_rng(9)
     base = [[f"w{int(x)}" for x in rng.integers(0, 50, 400)] for _ in range(4)]
     texts = [(100 - i, " ".join([*base[i % 4][: 395 - i // 8], "Zé"] if i % 5 else base[i % 4])) for i in range(60)]
@@ -194,6 +195,18 @@ def test_simhash_groups_equal_brute_force(spark, monkeypatch, fine):
     assert {i: r.component_id for i, r in got.items()} == label
 
 
+def test_refiling_ends_and_loses_no_pair():
+    rng = np.random.default_rng(2)
+    for path in (0, 1, 7, 4 * 5 + 2):
+        slices = simhash.open_bits(path, 3)
+        closed = 64 - sum(map(len, slices))
+        assert closed >= 16 * (path > 0) and len(slices) == 4
+    path, n = 0, 0
+    while any(simhash.open_bits(path, 3)):
+        path, n = path * 5 + 1 + int(rng.integers(0, 4)), n + 1
+        assert n < 30
+
+
 def test_thresholds_satisfy_the_pigeonhole_principle():
     sample = np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64)
     for total in (10, 10**6, 10**9):
