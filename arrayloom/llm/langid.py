@@ -1,21 +1,23 @@
-"""Language identification: sparse multinomial logistic regression on TF-IDF byte n-grams.
+"""Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are n-grams of one to three bytes (UTF-8 text, A-Z lower-cased, digits and ASCII marks as one blank), hashed to
-FEATURES places. Document frequencies are counted over all documents that may be learnt from. Weights are trained with
-follow-the-regularised-leader (per-coordinate steps) under an elastic net: the L1 part keeps only weights that earn their
-place. A temperature, fitted on learning rows that the weights did not see, calibrates the probability.
+Features are n-grams of one to three characters (code points; letters in lower case, marks as they are, everything else a
+blank), hashed to FEATURES places. Document frequencies are counted over all documents that may be learnt from. Weights are
+trained with follow-the-regularised-leader (per-coordinate steps) under an elastic net: the L1 part keeps only weights that
+earn their place. A temperature, fitted on learning rows that the weights did not see, calibrates the probability.
 
 Learning rows are at most SAMPLE labelled documents of each language by hash order, outside the held-out fold, read
-whole. Prediction covers every text whole.
-Defined cases: a null text and one without a letter get ``und`` with score 0, and so does every text where no label can
-be learnt; a single label is predicted with score 1; repeated rows are alike; other columns play no part.
+whole, for the LANGUAGES most frequent languages (of equally frequent ones those first in order). They are chosen by hashes of id
+and text, so rows that repeat both count once and texts are not shuffled. Prediction covers every text whole.
+Defined cases: a null text and one without a letter (Unicode category L) get ``und`` with score 0, and so does every text
+where no label can be learnt; a single label is predicted with score 1; of equally likely languages the first in order
+wins; repeated rows are predicted alike; a row whose id is null is not held out and may be learnt from; other columns play no part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +25,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .bpe import LETTER, char_classes
 from .quality import held_out
 from .session import ship
 
-FEATURES = 1 << 14
-#: Learning rows of each language.
-SAMPLE = 600
+FEATURES = 1 << 15
+GRAM = 3
+#: Learning rows of each language, and languages that are learnt.
+SAMPLE, LANGUAGES = 600, 1000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_FOLD = K.LOWER.copy()
-_FOLD[:0x41] = _FOLD[0x5B:0x61] = _FOLD[0x7B:0x80] = 0x20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
-def places(data: np.ndarray) -> np.ndarray:
-    """Feature places of the one-, two- and three-byte grams that start at each byte (3 x n), over folded bytes."""
-    n = len(data)
-    low = np.zeros(n + 2, np.uint32)
-    low[:n] = _FOLD[data]
-    out = np.empty((3, n), np.uint16)
+@lru_cache(1)
+def folds() -> np.ndarray:
+    """The character that stands for each code point: lower case of letters, marks, or a blank."""
+    import regex
+
+    out = np.full(0x110000, 0x20, np.uint32)
+    letters = np.flatnonzero(char_classes() == LETTER)
+    out[letters] = letters
+    for i in letters.tolist():
+        low = chr(i).lower()
+        if len(low) == 1:
+            out[i] = ord(low)
+    points = [i for i in range(0x300, 0x110000) if not 0xD800 <= i < 0xE000]
+    for m in regex.finditer(r"\p{M}", "".join(map(chr, points))):
+        out[points[m.start()]] = points[m.start()]
+    return out
+
+
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block of UTF-8 texts, and where each text starts among them."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), np.searchsorted(lead, at)
+
+
+def places(points: np.ndarray) -> np.ndarray:
+    """Feature places of the grams of one, two and three characters that start at each character (3 x n)."""
+    n = len(points)
+    low = np.zeros(n + GRAM - 1, np.uint32)
+    low[:n] = folds()[points]
+    out = np.empty((GRAM, n), np.uint16)
     h = np.zeros(n, np.uint32)
     shift = np.uint32(32 - (FEATURES.bit_length() - 1))
-    for k in range(3):
+    for k in range(GRAM):
         h = (h ^ (low[k : k + n] + np.uint32(k + 1))) * _MIX[k]
         h ^= h >> np.uint32(15)
         out[k] = (h * np.uint32(0x27D4EB2F)) >> shift
     return out
 
 
-def counts(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Feature counts of each text of a block."""
-    every = places(data)
-    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        own = every[:, s:e].copy()
-        if e - s < 3:  # grams that reach beyond the text
-            own = np.concatenate([own[k, : max(0, e - s - k)] for k in range(3)])
-        else:
-            own = np.concatenate([own[0], own[1, :-1], own[2, :-2]])
-        yield np.bincount(own, minlength=FEATURES)
+def counts(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """Feature counts of each text of a block, and whether it has a letter."""
+    points, first = characters(data, at)
+    every = places(points)
+    letters = np.concatenate(([0], np.cumsum(char_classes()[points] == LETTER)))[first]
+    for s, e, some in zip(first[:-1].tolist(), first[1:].tolist(), np.diff(letters).tolist(), strict=True):
+        own = np.concatenate([every[k, s : max(s, e - k)] for k in range(GRAM)])  # no gram reaches beyond its text
+        yield np.bincount(own, minlength=FEATURES), some > 0
 
 
 def tf_idf(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -142,7 +165,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for _, _, data, at in K.blocks(batch.column(0)):
-                for row in counts(data, at):
+                for row, _ in counts(data, at):
                     total += row > 0
                     n += 1
         used = np.flatnonzero(total)
@@ -159,34 +182,44 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
+def learning_rows(own: DataFrame) -> DataFrame:
+    """(lang, key): at most SAMPLE keys of each language of ``own`` (lang, key, text), those of smallest hash. Rows are thinned
+    out by a threshold for each language first, so that no task gets a language's rows."""
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("key").alias("keys")).orderBy(F.desc("keys"), "lang").limit(LANGUAGES).collect()
+    h = F.pmod("key", F.lit(1 << 40))
+    most = own.sparkSession.createDataFrame([(r[0], int(min(1.0, (2 * SAMPLE + 200) / r[1]) * (1 << 40))) for r in sizes], "lang string, most bigint")
+    thin = own.select("lang", "key").join(F.broadcast(most), "lang").where(h <= F.col("most")).select("lang", "key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "key"))
+    return thin.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "key")
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model, or None where there is no labelled row."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~F.coalesce(held_out("id"), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h"))
-    chosen = own.select("id", "lang", F.xxhash64("text").alias("h")).withColumn("r", rank).where(F.col("r") <= SAMPLE)
-    # at most SAMPLE rows of each language: chosen without their texts, which a join fetches
-    ids = own.withColumn("h", F.xxhash64("text")).join(chosen, ["id", "lang", "h"]).select("lang", "r", "text")
+    ship(docs.sparkSession)
+    own = docs.where(~F.coalesce(held_out(id_col), F.lit(False))).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    own = own.where("lang IS NOT NULL AND text IS NOT NULL")
+    picked = own.join(F.broadcast(learning_rows(own)), ["lang", "key"]).select("lang", "key", "text")  # SAMPLE rows of each of LANGUAGES languages
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, data, at in K.blocks(batch.column(2)):
-                for row in counts(data, at):
+                for row, _ in counts(data, at):
                     used = np.flatnonzero(row)
                     out.append(used.astype(np.uint16).tobytes() + row[used].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "r", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "key", "packed"])
 
-    rows = ids.mapInArrow(features, "lang string, r int, packed binary").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
+    packed = picked.mapInArrow(features, "lang string, key bigint, packed binary").groupBy("lang", "key").agg(F.min("packed").alias("packed"))
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in packed.collect())  # at most FEATURES counts each
     if not rows:
         return None
     seen, n = frequencies(own)
     idf = np.log((1 + n) / (1 + seen)) + 1
     unpacked = []
-    for r in rows:
-        packed, k = bytes(r[2]), len(r[2]) // 6
-        count = np.zeros(FEATURES, np.int64)
-        count[np.frombuffer(packed[: 2 * k], np.uint16)] = np.frombuffer(packed[2 * k :], np.uint32)
+    for _, _, raw in rows:
+        k = len(raw) // 6
+        count = np.zeros(FEATURES, np.int32)
+        count[np.frombuffer(raw[: 2 * k], np.uint16)] = np.frombuffer(raw[2 * k :], np.uint32)
         unpacked.append(count)
     return train(unpacked, [r[0] for r in rows], idf)
 
@@ -200,13 +233,8 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             lang, score = [], []
             for _, _, data, at in K.blocks(batch.column(2)):
-                raw = data.tobytes()
-                bounds = at.tolist()
-                for s, e, count in zip(bounds[:-1], bounds[1:], counts(data, at), strict=True):
-                    if model is None or not _LETTER.search(raw[s:e].decode()):
-                        name, p = UNKNOWN, 0.0
-                    else:
-                        name, p = model.predict(count)
+                for count, letters in counts(data, at):
+                    name, p = model.predict(count) if model is not None and letters else (UNKNOWN, 0.0)
                     lang.append(name)
                     score.append(p)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
