@@ -6,9 +6,10 @@ of a text that lies within REACH characters of one or in one word with it; the r
 character takes its label from the window in whose middle it lies most, and spans are then read off the whole text.
 An added span must have its kind's marks and must not touch a base span.
 
-Learning uses base spans of at most SAMPLE documents (by hash order, read whole) and synthetic ones.
+Learning uses at most LEARN_WINDOWS windows of about SAMPLE documents (both by hash order), labelled with their base spans, and
+SYNTHETIC invented ones, which also hold forms that the rules do not know. Windows are cut and labelled on the executors.
 Defined cases: null and empty texts have no spans and hashes of the empty string; offsets count code points; repeated
-rows give a row each; other columns play no part.
+rows give a row each; ids may be null; other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import hash_sample, ship
+from .session import hash_sample, ship, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH = 80, 24
-SAMPLE = 3000
+#: Documents whose windows may be learnt from, windows that are, and invented lines beside them.
+SAMPLE, LEARN_WINDOWS, SYNTHETIC = 3000, 500, 900
 LABELS = 1 + 2 * len(KINDS)  # outside, then first and later characters of each kind
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -346,7 +348,7 @@ def synthetic(seed: int, n: int) -> list[tuple[str, list[Span]]]:
         lambda: f"{word()}{pick(['', '.', '_'])}{pick([word(), num(2)])}@{word()}{pick(['', num(1)])}.{pick(['com', 'org', 'net', 'example.com'])}",
         lambda: ".".join(str(int(rng.integers(1, 256))) for _ in range(4)),
         card,
-        lambda: pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}"]),
+        lambda: pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", *[f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}"] * 3]),  # more of those that the rules do not know
     ]
     other = [lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(2)}", lambda: num(int(rng.integers(1, 12))), lambda: f"{word()}={num(3)}{word()}{num(4)}", lambda: f"AKIA{num(6)}{word().upper()}{num(4)}", lambda: f"{num(2)}.{num(2)}.", lambda: f"@{word()}", lambda: "".join(pick("0123456789abcdef") for _ in range(32))]
     out = []
@@ -363,15 +365,10 @@ def synthetic(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def train(texts: list[str], *, most: int = 500, seed: int = 3) -> Tagger:
-    """A tagger from the base spans of texts (at most ``most`` windows) and as many synthetic ones."""
-    rng = np.random.default_rng(seed)
-    own = []
-    for text in texts:
-        mark = labels_of(text, base_spans(text)) if _MARK.search(text) else None
-        own += [(text[s:e], mark[s:e]) for s, e in windows(text)] if mark is not None else []
-    own = [own[i] for i in rng.permutation(len(own))[:most]]
-    for text, spans in synthetic(seed, 600):
+def train(own: list[tuple[str, np.ndarray]], *, seed: int = 3) -> Tagger:
+    """A tagger from labelled windows and synthetic ones."""
+    rng, own = np.random.default_rng(seed), list(own)
+    for text, spans in synthetic(seed, SYNTHETIC):
         s = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
         own.append((text[s : s + WINDOW], labels_of(text, spans)[s : s + WINDOW]))
     x, y = np.zeros((len(own), WINDOW), np.int64), np.zeros((len(own), WINDOW), np.int64)
@@ -383,14 +380,35 @@ def train(texts: list[str], *, most: int = 500, seed: int = 3) -> Tagger:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    rows = hash_sample(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()), id_col, SAMPLE).collect()
-    return train([r[1] for r in rows])
-
+    """A tagger for the documents."""
+    ship(docs.sparkSession)
+    own = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    total = own.count()
+    if total > SAMPLE:
+        own = own.where(F.pmod("key", F.lit(1 << 40)) < int(SAMPLE / total * (1 << 40)))
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans for every document."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if _MARK.search(text):
+                    mark = labels_of(text, base_spans(text)).astype(np.uint8)
+                    places = windows(text)
+                    for lo in range(0, len(places), 10_000):
+                        some = places[lo : lo + 10_000]
+                        cols = [pa.array([key] * len(some), pa.int64()), pa.array([s for s, _ in some], pa.int64()), pa.array([text[s:e] for s, e in some]), pa.array([mark[s:e].tobytes() for s, e in some], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, ["key", "start", "text", "labels"])
+
+    found = write_table(own.mapInArrow(cut, "key bigint, start bigint, text string, labels binary").distinct(), "pii-windows")
+    found = found.withColumn("h", F.xxhash64("key", "start", "text"))
+    rows = sorted((r.h, r.text, bytes(r.labels)) for r in hash_sample(found, "h", LEARN_WINDOWS).collect())
+    return train([(text, np.frombuffer(mark, np.uint8)) for _, text, mark in rows])
+
+
+def find(docs: DataFrame, *, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the number of base spans of each kind, base_sha256 and spans for every document. Without a tagger one is
+    learnt from the documents."""
     ship(docs.sparkSession)
-    tagger = fit(docs, id_col=id_col, text_col=text_col)
+    tagger = tagger or fit(docs, id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,10 +437,10 @@ def _spans_of(tagger: Tagger, column: pa.Array) -> tuple[list[list[Span]], list[
     return base, every
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, *, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets, and their length renewed."""
     ship(docs.sparkSession)
-    tagger = fit(docs, id_col=id_col, text_col=text_col)
+    tagger = tagger or fit(docs, id_col=id_col, text_col=text_col)
     place = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else -1
     names = docs.columns
