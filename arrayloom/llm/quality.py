@@ -5,11 +5,13 @@ Learned filters run over every byte of a text. Their rectified activations are a
 unit over all chunks is kept, and a logistic unit combines them into one probability. Filters, byte embedding and
 layers are trained by back-propagation; a final scaling fits the probability to the classes' real shares.
 
-Learning uses at most SAMPLE_PER_CLASS labelled rows of each class, by hash order, from outside the held-out fold;
-they are read whole. Scoring covers every text whole.
+Learning uses at most SAMPLE_PER_CLASS labelled documents of each class, by hash order, from outside the held-out fold, and
+of those the ones of at most LEARN_BYTES bytes, read whole; that bounds what the driver holds. Scoring covers every text
+whole.
 Defined cases: null and empty texts get the score of a text without evidence; without labels of both classes every
-score is the share of label 1 (0.5 without any label); of repeated labels the smallest counts; other columns and
-rows that repeat play no part.
+score is the share of label 1 (0.5 without any label); of repeated labels the smallest counts, of several texts of one
+id one is learnt from (the smallest), and each is scored by itself; a row whose id is null is scored, and not held out;
+other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import ship
+from .session import hash_sample, ship
 
 CELL = 128
 WIDTH = 4
 #: Labelled rows of each class that the network learns from.
 SAMPLE_PER_CLASS = 700
+#: Bytes of the longest text that it learns from.
+LEARN_BYTES = 1 << 16
 #: Bytes of average text that a chunk's average is shrunk towards, for short texts.
 PRIOR_BYTES = 64.0
 THRESHOLD = 0.7
@@ -216,18 +220,19 @@ def fit_scale(raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Network | float:
     """The network, or a constant score where one class has no row."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(id_col).agg(F.min("quality").alias("quality")).where(~held_out(id_col))
-    share = known.agg(F.avg("quality")).first()[0]
-    if share is None or share in (0.0, 1.0):
-        return 0.5 if share is None else float(share)
-    order = [F.xxhash64(id_col), id_col]
-    chosen = [known.where(F.col("quality") == q).orderBy(*order).limit(SAMPLE_PER_CLASS) for q in (0, 1)]
-    picked = chosen[0].union(chosen[1]).withColumnRenamed("quality", "_quality")  # bounded by SAMPLE_PER_CLASS
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(id_col, F.col(text_col).alias("text"), "_quality").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    sizes = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
+    if len(sizes) < 2:
+        return float(next(iter(sizes))) if sizes else 0.5
+    share = sizes[1] / (sizes[0] + sizes[1])
+    chosen = [hash_sample(known.where(F.col("quality") == q), id_col, SAMPLE_PER_CLASS, sizes[q]) for q in (0, 1)]
+    picked = chosen[0].union(chosen[1]).select(F.col(id_col).alias("_id"), F.col("quality").alias("_quality"))  # bounded by SAMPLE_PER_CLASS
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+    rows = docs.select(F.col(id_col).alias("_id"), text).where(F.octet_length("_text") <= LEARN_BYTES).join(F.broadcast(picked), "_id")
+    rows = sorted(rows.groupBy("_id", "_quality").agg(F.min("_text").alias("_text")).select("_id", "_text", "_quality").collect())
     y = np.array([r[2] for r in rows])
     if not len(y) or y.min() == y.max():
         return float(share)
-    return train([(r[1] or "").encode() for r in rows], y, float(share))
+    return train([r[1].encode() for r in rows], y, float(share))
 
 
 def scores(net: Network | float, column: pa.Array) -> np.ndarray:
@@ -253,10 +258,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return docs.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), text_col).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     ship(docs.sparkSession)
-    net = fit(docs, labels, text_col=text_col)
+    net = fit(docs, labels, id_col=id_col, text_col=text_col)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
