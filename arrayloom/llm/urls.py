@@ -6,10 +6,12 @@ any matching url must contain as a whole. A url's tokens fetch candidate rules;
 expression, and the longest match decides.
 
 All of it is DataFrame work: hosts and paths are cut by column functions, the rule index is a small table (RULES_MOST bounds
-it for a broadcast; a larger one is joined by token), and matching runs once for each distinct host and path.
+it for a broadcast; a larger one is joined by token), and matching runs once for each distinct host and path. Verdicts go back to
+the urls by weight: hosts and paths of many urls are broadcast.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, matches no rule and gets the default verdict;
-of rules of equal length the first in order wins; repeated urls are judged alike; other columns play no part.
+of rules of equal length the first in order wins; repeated urls are judged alike; other columns play no part. At most FREE_MOST
+rules may have no literal token, since those are tried on every host and path; more are an error.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import write_table
+from .session import join_by_weight, write_table
 
 #: Rules up to this number are broadcast.
 RULES_MOST = 100_000
+#: Rules without a literal token.
+FREE_MOST = 100
 DEFAULT = "allow"
 
 
@@ -38,9 +42,9 @@ class Rule:
         return self.host + self.path
 
     def pattern(self) -> str:
-        """A regular expression for host, a line feed and path."""
+        """A regular expression for host, a line feed and path; an empty host stands for all."""
         quote = lambda s: re.sub(r"([^A-Za-z0-9/_-])", r"\\\1", s)
-        return "^(?:[^\n]*\\.)?" + quote(self.host) + "\n" + quote(self.path)
+        return ("^(?:[^\n]*\\.)?" + quote(self.host) if self.host else "^[^\n]*") + "\n" + quote(self.path)
 
     def tokens(self) -> list[str]:
         """Tokens that every matching url has: the host's labels, and the path's parts that end before its end."""
@@ -81,7 +85,11 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, *, default: str = D
     cut = cut.select("page_id", host.alias("host"), path.alias("path"))
     if not rules:
         return cut.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    free = [r for r in rules if not r.tokens()]
+    if len(free) > FREE_MOST:
+        raise ValueError(f"more than {FREE_MOST} rules have no literal token")
     places = write_table(cut.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "url-places")
+    total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     table = spark.createDataFrame(
         [(i, r.verdict, r.name, len(r.name), r.pattern(), r.tokens()) for i, r in enumerate(rules)],
         "number int, verdict string, rule string, length int, pattern string, tokens array<string>",
@@ -96,10 +104,10 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, *, default: str = D
     rarest = write_table(rarest, "url-rules")
     keyed = bound(rarest.where("token IS NOT NULL"))
     candidates = places.select("host", "path", F.explode(_tokens()).alias("token")).join(keyed, "token")
-    free = [r for r in rules if not r.tokens()]  # a rule without a literal token is tried everywhere
     if free:
-        candidates = candidates.unionByName(places.select("host", "path", F.lit(None).cast("string").alias("token")).crossJoin(F.broadcast(rarest.where("token IS NULL").drop("token"))).select(candidates.columns))
+        tried = F.broadcast(rarest.where("token IS NULL").drop("token"))
+        candidates = candidates.unionByName(places.select("host", "path", F.lit(None).cast("string").alias("token")).crossJoin(tried).select(candidates.columns))
     fits = candidates.where(F.expr("concat(host, '\n', path) RLIKE pattern"))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("length", (-F.col("number")).alias("o"))).alias("best"))
-    joined = cut.join(best, ["host", "path"], "left")
-    return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    told = places.join(best, ["host", "path"], "left").select("host", "path", "n", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return join_by_weight(cut, write_table(told, "url-verdicts"), ["host", "path"], "n", total).select("page_id", "host", "path", "rule", "verdict")
