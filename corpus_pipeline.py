@@ -6,16 +6,20 @@ the columns of documents:
 
 1. quality: documents that the quality classifier rejects go;
 2. near_duplicates: of each SimHash group the document with the smallest id stays;
-3. decontaminate: documents with windows of two benchmark items or more go;
+3. decontaminate: documents with a window of any benchmark item go;
 4. personal_data: spans of personal data are replaced by their kind in angle brackets, n_chars is renewed;
 5. tokens: texts become token ids.
+
+Defined cases: null and empty texts are documents like others (one of them stays in stage 2; without tokens in stage 5).
+A row whose id is null is judged by its text in stages 1 and 3 and is never a duplicate in stage 2. Rows with one id and
+different texts are judged by their own texts; of rows equal in id and text, or in one group with one id, one stays.
+An empty table gives an empty table. Further columns are carried along up to the last stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arrayloom.llm import bpe, decontaminate, pii, quality, simhash
 from arrayloom.llm.session import documents, write_table
@@ -26,13 +30,11 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    return simhash.keep_one(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where(F.col("contaminated")).select("doc_id"), "doc_id", "left_anti")
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
