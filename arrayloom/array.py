@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import elementwise
-from .operators import layout, linalg
+from .operators import layout, linalg, ordered
 
 Axis = int | Sequence[int] | None
 #: Element types; u8, i32 and i64 wrap around, the others are doubles.
@@ -182,9 +182,9 @@ class SparkArray:
         return self._like(cumsum_all(self.df, "x", "i").select("i", F.col("cumsum").alias("x")))
 
     def sort(self) -> SparkArray:
-        """Ascending, flat. Places follow from counts of smaller elements by range, so no task sees all rows."""
-        rdd = self.df.orderBy("x").select("x").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-        return SparkArray(self.df.sparkSession.createDataFrame(rdd, f"i bigint, x {self.df.schema['x'].dataType.simpleString()}"), [len(self)], self.dtype)
+        """Ascending, flat. Places are counted within ranges of the elements, so no task sees all rows."""
+        own = ordered.ranked(self.df.select(F.col("i").alias("_i"), "x"), "x", "_i")
+        return SparkArray(own.select(F.col("place").cast("bigint").alias("i"), "x"), [len(self)], self.dtype)
 
     def top_k(self, k: int) -> tuple[list[int], list]:
         """Places and values of the k largest, lower places first among equal ones."""

@@ -1,7 +1,7 @@
 """Cluster trees, level-of-detail pyramids and difference coding of bit vectors.
 
-A tree is built level by level: each round splits all open clusters at once, with joins by cluster, so its rounds are the
-tree's depth. Rows are (id, w).
+A tree is built level by level while clusters are large: each round splits all open clusters of more than LOCAL points at
+once. Smaller ones are built to their leaves in one task each, by the same rules. Rows are (id, w).
 """
 
 from __future__ import annotations
@@ -10,85 +10,163 @@ import itertools
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..shipping import ship
 from .reduce import lfd
 
 #: Distances by name: functions of two array columns.
 DISTANCES: dict[str, Callable] = {"hamming": bits.hamming}
+#: The same over rows of a matrix of words and one vector.
+MATRIX_DISTANCES: dict[str, Callable] = {"hamming": lambda m, v: np.bitwise_count(m ^ v).sum(axis=1).astype(np.int64)}
+#: Points up to which a cluster's subtree is built in one task.
+LOCAL = 4096
+#: Clusters whose centres are broadcast; more of them are joined by a shuffle.
+CENTERS_MOST = 10_000
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage by checkpoint, in a temporary folder where none is set: plans of deep trees double with each level."""
+    """Cut the lineage by checkpoint: plans of deep trees double with each level. Where no folder is set, a temporary one is,
+    which serves a local Spark only."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arrayloom-shared-"))
     return df.checkpoint()
 
 
 #: Seeds of a cluster that one task compares with all of its seeds.
 SEED_BLOCK = 256
+_RANGE = 1 << 40
 
 
 def seeds_of(open_: DataFrame) -> DataFrame:
     """(node, cid, cw, h, k): the k = ceil(sqrt(n)) points of each cluster whose ids have the smallest hashes. About four
     times as many are ranked, not whole clusters."""
-    most = 1 << 40
-    sized = open_.join(open_.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node").withColumn("k", F.ceil(F.sqrt("n")))
-    sized = sized.withColumn("h", F.pmod(F.xxhash64("id", "node"), F.lit(most))).where(F.col("h") * F.col("n") / most < 4 * F.col("k") + 64)
+    sizes = open_.groupBy("node").agg(F.count(F.lit(1)).alias("n"))  # of clusters that are large
+    sized = open_.join(F.broadcast(sizes), "node").withColumn("k", F.ceil(F.sqrt("n")))
+    sized = sized.withColumn("h", F.pmod(F.xxhash64("id", "node"), F.lit(_RANGE))).where(F.col("h") * F.col("n") / _RANGE < 4 * F.col("k") + 64)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("h", "id"))
     return sized.withColumn("r", rank).where(F.col("r") <= F.col("k")).select("node", F.col("id").alias("cid"), F.col("w").alias("cw"), "h", "k")
 
 
-#: Depth from which nodes are numbered in order.
+def _rotated(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def hash_longs(*parts: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of bigint columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.uint64(42)
+    with np.errstate(over="ignore"):
+        for part in parts:
+            x = np.asarray(part, np.int64).view(np.uint64)
+            h = h + p5 + np.uint64(8)
+            h = _rotated(h ^ _rotated(x * p2, 31) * p1, 27) * p1 + p4
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+#: Depth from which 2n would leave a bigint, and children are named by a hash of their parent.
 HEAP = 61
 
 
+def _child(node: Column, side: Column, depth: int) -> Column:
+    if depth < HEAP:
+        return node * 2 + side
+    return -F.pmod(F.xxhash64(node, side.cast("bigint")), F.lit(1 << 62)) - 1
+
+
+_TREE = "node bigint, parent bigint, depth int, center bigint, radius bigint, card bigint, half bigint, leaf boolean, id bigint, w array<bigint>, to_center bigint, path array<bigint>"
+
+
+def _subtrees(open_: DataFrame, depth: int, min_cardinality: int, max_depth: int | None, distance: str) -> DataFrame:
+    """The rows of all nodes (id null) and of all leaves' members below clusters of at most LOCAL points: a task for each."""
+    measure = MATRIX_DISTANCES[distance]
+    ship(open_.sparkSession)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
+        ids, words = part["id"].to_numpy(), np.stack(part["w"].to_numpy()).astype(np.int64).view(np.uint64)
+        out: list[tuple] = []
+        todo = [(int(key[0]), depth, np.arange(len(ids)), [int(x) for x in part["path"].iloc[0]])]
+        while todo:
+            node, level, own, path = todo.pop()
+            k = int(np.ceil(np.sqrt(len(own))))
+            h = hash_longs(ids[own], np.full(len(own), node)) % _RANGE
+            seeds = own[np.lexsort((ids[own], h))[:k]]
+            cost = np.array([int(measure(words[seeds], words[i]).sum()) for i in seeds])
+            center = seeds[np.lexsort((ids[seeds], cost))[0]]
+            near = measure(words[own], words[center])
+            radius = int(near.max())
+            leaf = len(own) <= min_cardinality or radius == 0 or level == max_depth
+            out.append((node, path[-2] if len(path) > 1 else 0, level, int(ids[center]), radius, len(own), int((near * 2 <= radius).sum()), leaf, None, None, None, None))
+            if leaf:
+                out += [(node, None, None, None, None, None, None, None, int(ids[i]), words[i].view(np.int64), int(t), path) for i, t in zip(own, near, strict=True)]
+                continue
+            left = own[np.argmax(near)]  # the first of the farthest: ids are in order
+            to_left = measure(words[own], words[left])
+            right = own[np.argmax(to_left)]
+            side = to_left > measure(words[own], words[right])
+            for s in (0, 1):
+                child = 2 * node + s if level < HEAP else -int(hash_longs(np.array([node]), np.array([s]))[0] % (1 << 62)) - 1
+                todo.append((child, level + 1, own[side == bool(s)], [*path, child]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _TREE.split(", ")]).astype({c: "Int64" for c in ("parent", "depth", "center", "radius", "card", "half", "id", "to_center")})
+
+    return open_.groupBy("node").applyInPandas(run, _TREE)
+
+
 def build_tree(rows: DataFrame, *, min_cardinality: int = 16, max_depth: int | None = None, distance: str = "hamming") -> tuple[DataFrame, DataFrame]:
     """(nodes, members). nodes: node, parent, depth, center, radius, card, lfd, leaf; members: node, id, w, to_center, path
     (from the root to the node) for the leaves. The centre is the seed of the smallest total distance to a cluster's seeds,
     of which there are ceil(sqrt(n)); a cluster splits between the point farthest from its centre and the one farthest from
     that, ties to the left and small ids. Without ``max_depth``, until no cluster is open. Children of n are 2n and 2n + 1,
-    below depth ``HEAP`` numbers from -1 down."""
+    below depth ``HEAP`` negative hashes. Ids are distinct."""
     d = DISTANCES[distance]
     one = F.lit(1).cast("bigint")
     open_ = kept(rows.select(one.alias("node"), "id", "w", F.array(one).alias("path")))
-    nodes, leaves, deep = None, None, 0
+    built, small = None, None
     for depth in itertools.count():
+        sizes = kept(open_.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+        large = sizes.where(F.col("n") > LOCAL).select("node")
+        n_large = large.count()
+        side = F.broadcast if n_large <= CENTERS_MOST else (lambda df: df)
+        rest = open_ if not n_large else open_.join(side(large), "node", "left_anti")
+        done = _subtrees(rest, depth, min_cardinality, max_depth, distance)
+        small = done if small is None else small.unionByName(done)
+        if not n_large:
+            break
+        open_ = open_.join(side(large), "node", "left_semi")
         cand = kept(seeds_of(open_))
         blocks = F.ceil(F.col("k") / SEED_BLOCK)
         others = cand.select("node", F.col("cw").alias("sw"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
         cost = cand.withColumn("block", F.pmod("h", blocks)).join(others, ["node", "block"]).groupBy("node", "cid").agg(F.sum(d(F.col("sw"), F.col("cw"))).alias("cost"))
         best = cost.groupBy("node").agg(F.min(F.struct("cost", "cid")).alias("m")).select("node", F.col("m.cid").alias("center"))
         centers = best.join(cand, (best["node"] == cand["node"]) & (best["center"] == cand["cid"])).select(best["node"], "center", F.col("cw").alias("center_w"))
-        near = kept(open_.join(centers, "node").withColumn("to_center", d(F.col("w"), F.col("center_w"))))
+        near = kept(open_.join(side(centers), "node").withColumn("to_center", d(F.col("w"), F.col("center_w"))))
         size = near.groupBy("node").agg(F.count(F.lit(1)).alias("card"), F.max("to_center").alias("radius"), F.min(F.struct((-F.col("to_center")).alias("o"), "id", "w")).alias("far"), F.first("center").alias("center"), F.first("path").alias("path"))
-        half = near.join(size.select("node", "radius"), "node").groupBy("node").agg(F.sum(F.when(F.col("to_center") * 2 <= F.col("radius"), 1).otherwise(0)).alias("half"))
-        size = size.join(half, "node").withColumn("leaf", (F.col("card") <= min_cardinality) | (F.col("radius") == 0) | F.lit(depth == max_depth))
-        here = size.select("node", F.coalesce(F.get("path", F.size("path") - 2), F.lit(0)).alias("parent"), F.lit(depth).alias("depth"), "center", "radius", "card", lfd(F.col("card"), F.col("half")).alias("lfd"), "leaf")
-        here = kept(here)
-        nodes = here if nodes is None else nodes.unionByName(here)
-        done = near.join(here.where("leaf").select("node"), "node", "left_semi").select("node", "id", "w", "to_center", "path")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        rest = near.join(size.where(~F.col("leaf")).select("node", F.col("far.w").alias("left_w")), "node")
-        split = here.where(~F.col("leaf")).select("node")
-        n_split = split.count()
-        if not n_split:
-            break
-        rest = rest.withColumn("dl", d(F.col("w"), F.col("left_w")))
+        half = near.join(side(size.select("node", "radius")), "node").groupBy("node").agg(F.sum(F.when(F.col("to_center") * 2 <= F.col("radius"), 1).otherwise(0)).alias("half"))
+        size = kept(size.join(half, "node").withColumn("leaf", (F.col("card") <= min_cardinality) | (F.col("radius") == 0) | F.lit(depth == max_depth)))
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        here = size.select("node", F.coalesce(F.get("path", F.size("path") - 2), F.lit(0)).alias("parent"), F.lit(depth).alias("depth"), "center", "radius", "card", "half", "leaf", none("bigint", "id"), none("array<bigint>", "w"), none("bigint", "to_center"), none("array<bigint>", "path"))
+        own = near.join(side(size.where("leaf").select("node")), "node", "left_semi")
+        own = own.select("node", none("bigint", "parent"), none("int", "depth"), none("bigint", "center"), none("bigint", "radius"), none("bigint", "card"), none("bigint", "half"), none("boolean", "leaf"), "id", "w", "to_center", "path")
+        built = here.unionByName(own) if built is None else built.unionByName(here).unionByName(own)
+        rest = near.join(side(size.where(~F.col("leaf")).select("node", F.col("far.w").alias("left_w"))), "node").withColumn("dl", d(F.col("w"), F.col("left_w")))
         right = rest.groupBy("node").agg(F.min(F.struct((-F.col("dl")).alias("o"), "id", "w")).alias("m")).select("node", F.col("m.w").alias("right_w"))
-        if depth < HEAP:
-            right, child = right.withColumn("left", F.col("node") * 2), F.col("left") + F.col("side")
-        else:  # 2n would leave a bigint: count the split clusters on
-            rank = split.withColumn("left", -(deep + 2 * F.row_number().over(Window.orderBy("node")) - 1).cast("bigint"))
-            right, child = right.join(rank, "node"), F.col("left") - F.col("side")
-            deep += 2 * n_split
-        sides = rest.join(right, "node").withColumn("side", F.when(F.col("dl") <= d(F.col("w"), F.col("right_w")), 0).otherwise(1))
-        sides = sides.select(child.alias("node"), "id", "w", "path")
+        sides = rest.join(side(right), "node").withColumn("side", F.when(F.col("dl") <= d(F.col("w"), F.col("right_w")), 0).otherwise(1))
+        sides = sides.select(_child(F.col("node"), F.col("side"), depth).alias("node"), "id", "w", "path")
         open_ = kept(sides.withColumn("path", F.concat("path", F.array("node"))))
-    return nodes, leaves
+    every = kept(small if built is None else built.unionByName(small))
+    nodes = every.where("id IS NULL").select("node", "parent", "depth", "center", "radius", "card", lfd(F.col("card"), F.col("half")).alias("lfd"), "leaf")
+    return nodes, every.where("id IS NOT NULL").select("node", "id", "w", "to_center", "path")
 
 
 def delta_plus(to_center, radius):
@@ -112,13 +190,94 @@ def cluster_points(members: DataFrame, node: int) -> DataFrame:
     return members.where(F.array_contains("path", F.lit(node).cast("bigint")))
 
 
+def _bounds(queries: DataFrame, nodes: DataFrame, members: DataFrame, rows: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """(qid, qw, node, card, lfd, bound): each query's lower bound for each leaf, by the triangle inequality and, with the
+    or of each node's vectors (``annotate``), by the bits outside it, whichever is tighter."""
+    from .search import pair_queries
+
+    leaves = nodes.where("leaf").join(rows.select(F.col("id").alias("center"), F.col("w").alias("cw")), "center").select("node", "card", "lfd", "cw", "radius")
+    bound = delta_minus(bits.hamming(F.col("qw"), F.col("cw")), F.col("radius"))
+    if masks is not None:
+        each = masks.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda s: s["mask"]).alias("mask"))
+        leaves = leaves.join(each, "node")
+        bound = F.greatest(bound, bits.or_mask_lower_bound(F.col("qw"), F.col("mask")))
+    return pair_queries(queries, leaves).select("qid", "qw", "node", "card", "lfd", bound.alias("bound"))
+
+
+def _scanned(bounds: DataFrame, members: DataFrame) -> DataFrame:
+    return bounds.select("qid", "qw", "node").join(members.select("node", "id", "w"), "node").select("qid", "id", bits.hamming(F.col("qw"), F.col("w")).alias("dist"))
+
+
 def rho_neighbours(queries: DataFrame, nodes: DataFrame, members: DataFrame, rows: DataFrame, rho: int) -> DataFrame:
     """(qid, id, dist) within rho, reading only leaves that the triangle inequality leaves open."""
+    return _scanned(_bounds(queries, nodes, members, rows).where(F.col("bound") <= rho), members).where(F.col("dist") <= rho)
+
+
+def knn_sieve(queries: DataFrame, nodes: DataFrame, members: DataFrame, rows: DataFrame, k: int, masks: DataFrame | None = None) -> DataFrame:
+    """(qid, id, dist, rank): the k nearest, exact, ties to the smaller id. A query first scans its leaves of the smallest
+    bounds until they hold k points; the k-th distance found then closes all leaves with a larger bound."""
+    from .search import first_k
+
+    bounds = kept(_bounds(queries, nodes, members, rows, masks))
+    before = Window.partitionBy("qid").orderBy("bound", "node").rowsBetween(Window.unboundedPreceding, -1)
+    first = bounds.withColumn("held", F.coalesce(F.sum("card").over(before), F.lit(0))).where(F.col("held") < k)
+    order = [F.col("dist"), F.col("id")]
+    worst = first_k(_scanned(first, members), "qid", order, k).groupBy("qid").agg(F.max("dist").alias("worst"), F.count(F.lit(1)).alias("n"))
+    worst = worst.select("qid", F.when(F.col("n") >= k, F.col("worst")).alias("worst"))
+    left = bounds.join(worst, "qid").where(F.col("worst").isNull() | (F.col("bound") <= F.col("worst")))
+    return first_k(_scanned(left, members), "qid", order, k)
+
+
+def knn_growing(queries: DataFrame, nodes: DataFrame, members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The same by searches within radii that grow: from the root's radius over its points, by twice while nothing is found
+    and else by (k / found) to the power of the open leaves' mean inverse dimension, between 1.1 and 2. Radii grow
+    until k points or all are found."""
+    from .search import first_k
+
+    root = nodes.where("depth = 0").select("radius", "card").first()
+    if root is None:
+        return first_k(_scanned(_bounds(queries, nodes, members, rows), members), "qid", [F.col("dist"), F.col("id")], k)
+    bounds = kept(_bounds(queries, nodes, members, rows))
+    rho = kept(queries.select("qid", F.lit(max(1, root["radius"] // root["card"])).cast("bigint").alias("rho")).distinct())
+    found = None
+    while True:
+        open_ = bounds.join(rho, "qid")
+        inside = open_.where(F.col("bound") <= F.col("rho"))
+        hits = kept(_scanned(inside, members).join(rho, "qid").where(F.col("dist") <= F.col("rho")))
+        told = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+        mu = inside.where("lfd > 0").groupBy("qid").agg(F.avg(1 / F.col("lfd")).alias("mu"))
+        state = rho.join(told, "qid", "left").join(mu, "qid", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+        state = kept(state.withColumn("done", (F.col("hits") >= k) | (F.col("hits") >= root["card"])))
+        own = hits.join(state.where("done").select("qid"), "qid", "left_semi").select("qid", "id", "dist")
+        found = own if found is None else found.unionByName(own)
+        factor = F.greatest(F.lit(1.1), F.least(F.lit(2.0), F.pow(F.lit(float(k)) / F.greatest(F.col("hits"), F.lit(1)), F.coalesce("mu", F.lit(1.0)))))
+        grown = F.when(F.col("hits") == 0, F.col("rho") * 2).otherwise(F.ceil(F.col("rho") * factor))
+        rho = kept(state.where(~F.col("done")).select("qid", grown.alias("rho")))
+        if rho.isEmpty():
+            return first_k(found, "qid", [F.col("dist"), F.col("id")], k)
+
+
+def compressed_points(nodes: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, id, cb, diffs, to_center): the leaves' points as differing bytes to their centre, whose bytes are cb."""
+    by_id = rows.select(F.col("id").alias("center"), _bytes(F.col("w")).alias("cb"))
+    leaves = nodes.where("leaf").join(by_id, "center").select("node", "cb")
+    return members.join(leaves, "node").select("node", "id", "cb", bits.xor_diff(F.col("cb"), _bytes(F.col("w"))).alias("diffs"), "to_center")
+
+
+def decompressed(points: DataFrame) -> DataFrame:
+    """(id, b): the points' bytes again."""
+    return points.select("id", bits.xor_apply(F.col("cb"), F.col("diffs")).alias("b"))
+
+
+def compressed_search(queries: DataFrame, points: DataFrame, rho: int) -> DataFrame:
+    """(qid, id, dist) within rho over compressed points: a query meets each centre once, and points by their differences."""
     from .search import pair_queries
 
-    leaves = nodes.where("leaf").join(rows.select(F.col("id").alias("center"), F.col("w").alias("cw")), "center")
-    open_ = pair_queries(queries, leaves.select("node", "cw", "radius")).where(delta_minus(bits.hamming(F.col("qw"), F.col("cw")), F.col("radius")) <= rho).select("qid", "qw", "node")
-    return open_.join(members, "node").select("qid", "id", bits.hamming(F.col("qw"), F.col("w")).alias("dist")).where(F.col("dist") <= rho)
+    centers = points.groupBy("node").agg(F.first("cb").alias("cb"))
+    asked = queries.select("qid", _bytes(F.col("qw")).alias("qb"))
+    differing = F.aggregate(F.zip_with("qb", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    far = pair_queries(asked, centers).select("qid", "qb", "node", differing.alias("far"))
+    return far.join(points, "node").select("qid", "id", bits.hamming_from_diffs(F.col("qb"), F.col("cb"), F.col("diffs"), F.col("far")).alias("dist")).where(F.col("dist") <= rho)
 
 
 def lfd_by_depth(nodes: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ def simhash_int8_planes(d: int, n_bits: int, seed: int) -> np.ndarray:
     return np.where(raw.reshape(n_bits, d) >> np.uint64(63), 1.0, -1.0).T
 
 
+def simhash_int8(df: DataFrame, id_col: str, vector: str, n_bits: int, seed: int) -> DataFrame:
+    """(id, w): the signs of projections of integer vectors on hyperplanes of plus and minus one. Sums are exact."""
+    d = df.select(F.max(F.size(vector))).first()[0] or 0
+    return simhash(df, id_col, vector, n_bits, simhash_int8_planes(d, n_bits, seed))
+
+
 def codebook(spark: SparkSession, verbs: dict[str, int] = VERBS) -> DataFrame:
     return spark.createDataFrame(list(verbs.items()), "verb string, offset int")
 

@@ -63,6 +63,30 @@ def organic_read(df: DataFrame, by: list[str], container: str = "c", template: s
     return sums.select(*by, (F.col("dot") / F.greatest(F.sqrt("e") * F.sqrt("te"), F.lit(1e-10))).alias("similarity"), (F.col("dot") / F.greatest(F.col("te"), F.lit(1e-10))).alias("amplitude"))
 
 
+def read_all(containers: DataFrame, templates: DataFrame, channels: int) -> DataFrame:
+    """(id, concept, similarity, amplitude) for containers (id, j, c) and templates (concept, j, t): each concept at its
+    channel's positions. Templates are a small table that joins by position."""
+    own = templates.where(channel_of(F.col("j"), channels) == F.col("concept") % channels)
+    return organic_read(containers.join(own, "j"), ["id", "concept"])
+
+
+def residual(containers: DataFrame, templates: DataFrame, coefficients: DataFrame, channels: int) -> DataFrame:
+    """(id, j, rest): containers (id, j, c) less each concept's coefficient (id, concept, k) times its template at the
+    positions of its channel."""
+    own = templates.where(channel_of(F.col("j"), channels) == F.col("concept") % channels).join(coefficients, "concept")
+    known = own.groupBy("id", "j").agg(F.sum(F.col("k") * F.col("t")).alias("known"))
+    return containers.join(known, ["id", "j"], "left").select("id", "j", (F.col("c").cast("double") - F.coalesce("known", F.lit(0.0))).alias("rest"))
+
+
+def channel_masks(spark: SparkSession, d: int, channels: int) -> DataFrame:
+    """(channel, mask): for each channel, which of the positions are its own."""
+    each = xtrans(spark, d, channels)
+    every = spark.range(channels).select(F.col("id").cast("int").alias("channel"))
+    own = each.groupBy("channel").agg(F.collect_set("j").alias("own"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(d - 1).cast("bigint"))
+    return every.join(own, "channel", "left").select("channel", F.transform(places, lambda j: F.coalesce(F.array_contains("own", j), F.lit(False))).alias("mask"))
+
+
 def write_expr(container: Column, template: Column, amplitude: float) -> Column:
     """One write at all positions of two arrays, as a column."""
     return F.zip_with(container, template, lambda c, t: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), F.round(c + F.lit(amplitude) * t * receptivity(c)))).cast("int"))
@@ -157,8 +181,23 @@ class Wal:
 
         return cholesky_solve(low, right) if k else np.zeros(0)
 
+    def read_all(self, container: np.ndarray) -> list[tuple[int, float, float]]:
+        """(concept, similarity, amplitude) of every concept."""
+        return [(self.ids[i], *self.read(container, i)) for i in range(len(self.ids))]
+
+    def update(self, i: int, template) -> None:
+        """Another template of the same size for a concept."""
+        template = np.asarray(template, float)
+        if len(template) != len(self.templates[i]):
+            raise ValueError("a template keeps its size")
+        self.templates[i] = template
+
     def residual(self, container: np.ndarray, coefficients: np.ndarray) -> tuple[np.ndarray, float]:
-        rest = container.astype(float) - sum((c * t for c, t in zip(coefficients, self.templates, strict=True)), np.zeros(self.d))
+        """What is left of the container without each concept's share at its own channel's positions, and its mean square."""
+        rest = container.astype(float)
+        for i, c in enumerate(coefficients[: len(self.ids)]):
+            p = self.positions[i % self.channels]
+            rest[p] -= c * self.templates[i][p]
         return rest, float(np.mean(rest * rest)) if self.d else 0.0
 
     def flush(self, container: np.ndarray, keep: int | None = None) -> dict:

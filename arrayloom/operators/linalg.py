@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,44 @@ def syrk(a: DataFrame, c: DataFrame | None = None, *, alpha: float = 1.0, beta:
     return _combine(product, None if c is None else c.where(keep), alpha, beta, ["i", "j"])
 
 
+def gram(rows: DataFrame, by: str | None = None, vector: str = "v") -> DataFrame:
+    """([by,] i, j, x, n): sums of products of the places of all vectors (of each group), and how many vectors they cover.
+    A task multiplies blocks of rows and sends one matrix for each group, so d * d numbers for it are shuffled, not
+    for each vector."""
+    from .search import matrix
+
+    ship(rows.sparkSession)
+    kind = rows.schema[by].dataType.simpleString() if by else "int"
+    own = rows.where(F.col(vector).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = matrix(batch.column(1))
+            keys = batch.column(0).dictionary_encode()
+            code = keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False)
+            for c in np.unique(code).tolist():
+                some = v[code == c]
+                key = keys.dictionary[c].as_py() if c < len(keys.dictionary) else None
+                old = held.get(key)
+                held[key] = (some.T @ some, len(some)) if old is None else (old[0] + some.T @ some, old[1] + len(some))
+            if len(held) * v.shape[1] ** 2 > 4_000_000:  # a task's memory does not grow with the number of groups
+                yield from told(held)
+                held = {}
+        yield from told(held)
+
+    def told(held: dict) -> Iterator[pa.RecordBatch]:
+        for key, (m, n) in held.items():
+            i, j = np.indices(m.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * m.size, pa.from_numpy_dtype(np.int64) if kind in ("int", "bigint") else None), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel()), pa.array(np.full(m.size, n))], ["g", "i", "j", "x", "n"])
+
+    parts = own.withColumn("g", F.col("g").cast("bigint") if kind in ("int", "bigint") else F.col("g")).mapInArrow(run, f"g {'bigint' if kind in ('int', 'bigint') else kind}, i bigint, j bigint, x double, n bigint")
+    sums = parts.groupBy("g", "i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return sums.withColumnRenamed("g", by) if by else sums.drop("g")
+
+
 def trmv(a: DataFrame, v: DataFrame, *, upper: bool = True, trans: bool = False, unit: bool = False) -> DataFrame:
     """A triangle times a vector."""
     own = a.where(F.col("i") <= F.col("k") if upper else F.col("i") >= F.col("k"))
@@ -227,6 +266,21 @@ def per_matrix(df: DataFrame, n: int, kind: str) -> DataFrame:
     return df.groupBy("m").applyInPandas(run, "m bigint, i bigint, k bigint, x double, info int")
 
 
+def rebuilt(factors: DataFrame, n: int, kind: str) -> DataFrame:
+    """The matrices that factors of ``per_matrix`` stand for, (m, i, k, x): the product of LU's triangles (rows in the order
+    of the pivots), L L' of Cholesky, or R' R of QR, which is A' A."""
+    low = factors.where(F.col("k") < F.col("i")) if kind == "lu" else factors.where(F.col("k") <= F.col("i"))
+    up = factors.where(F.col("k") >= F.col("i"))
+    if kind == "lu":
+        units = factors.where(F.col("i") == F.col("k")).withColumn("x", F.lit(1.0))
+        left, right = low.unionByName(units).select("m", "i", F.col("k").alias("c"), F.col("x").alias("a")), up.select("m", F.col("i").alias("c"), "k", F.col("x").alias("b"))
+    elif kind == "cholesky":
+        left, right = low.select("m", "i", F.col("k").alias("c"), F.col("x").alias("a")), low.select("m", F.col("i").alias("k"), F.col("k").alias("c"), F.col("x").alias("b"))
+    else:
+        left, right = up.select("m", F.col("i").alias("c"), F.col("k").alias("i"), F.col("x").alias("a")), up.select("m", F.col("i").alias("c"), "k", F.col("x").alias("b"))
+    return left.join(right, ["m", "c"]).groupBy("m", "i", "k").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
+
+
 def solve_systems(a: DataFrame, b: DataFrame, n: int, kind: str = "lu") -> DataFrame:
     """Solve each system of (m, i, k, x) for its right side (m, i, x)."""
     ship(a.sparkSession)

@@ -12,23 +12,36 @@ def cumsum(df: DataFrame, x: str, order: str, *by: str, out: str = "cumsum") ->
     return df.withColumn(out, F.sum(x).over(w))
 
 
-def cumsum_all(df: DataFrame, x: str, order: str, *, out: str = "cumsum", buckets: int = 1 << 12) -> DataFrame:
-    """Running sum over a whole table in order of an integer column, without bringing all rows to one task.
+def cumsum_all(df: DataFrame, x: str, order: str, *, out: str = "cumsum", ranges: int | None = None) -> DataFrame:
+    """Running sum over a whole table in order of a column, without bringing all rows to one task.
 
-    Rows fall into ranges of the order; only the ranges' sums are summed up in one place (at most ``buckets`` of
-    them), the running sum within a range is a window of its own.
+    Rows are dealt into ranges of about equal size by sampled quantiles of the order, so clustered values make no large
+    range; only the ranges' sums are summed up in one place, the running sum within a range is a window of its own. Rows that
+    share a value of the order come one after the other.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    cut = df.withColumn("_range", F.floor((F.col(order) - F.lit(int(low))) / width))
+    from .cluster import kept
+
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = kept(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()))
     sums = cut.groupBy("_range").agg(F.sum(x).alias("_sum"))
     before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.sum(x).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return cut.withColumn("_inner", inner).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_inner")).drop("_range", "_inner", "_before")
 
 
+def ranked(df: DataFrame, x: str, tie: str, *, out: str = "place") -> DataFrame:
+    """The place (from 0) of each row in order of x, then of the tie; nulls first. Rows are dealt into ranges by sampled
+    quantiles; places within a range are a window of its own, and only the ranges' sizes meet."""
+    from .cluster import kept
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = kept(df.repartitionByRange(n, x, tie).withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(x, tie)) - 1
+    return cut.withColumn("_inner", inner).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_inner")).drop("_range", "_inner", "_before")
+
+
 def top_k(df: DataFrame, x: str, k: int, tie: str) -> DataFrame:
     """The k largest, ties to the smaller ``tie``."""
     return df.orderBy(F.desc(x), tie).limit(k)

@@ -6,14 +6,71 @@ set is an ordinary join of blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bf16, bits, symbols
+from ..shipping import ship
 
 QUERIES_MOST = 10_000
+#: Numbers of a block of queries that are sent to every task, and pairs that a task scores at a time.
+NUMBERS_MOST, PAIRS_MOST = 4_000_000, 1 << 20
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix of doubles; lists of different sizes are an error."""
+    flat = column.flatten()
+    if len(column) and len(flat) % len(column) or len(set(column.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors must have equal sizes")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def block_scores(queries: DataFrame, rows: DataFrame, score: Callable, names: list[str]) -> DataFrame:
+    """(qid, id, ...) for queries (qid, qv) and rows (id, v), by matrix products of blocks. ``score(q, v)`` gives for two
+    matrices the places (row of q, row of v) that stay, and a double column for each of ``names``. Queries are counted and
+    go to the executors in blocks of at most NUMBERS_MOST numbers; rows are read once for each block. Null vectors take
+    no part."""
+    ship(rows.sparkSession)
+    queries, rows = queries.where("qid IS NOT NULL AND qv IS NOT NULL").select("qid", "qv"), rows.where("v IS NOT NULL").select("id", "v")
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    numbers = queries.agg(F.coalesce(F.sum(F.size("qv")), F.lit(0))).first()[0]
+    blocks, out = max(1, -(-numbers // NUMBERS_MOST)), None
+    for b in range(blocks):
+        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
+        ids, q = own.column(0).combine_chunks(), matrix(own.column(1).combine_chunks())
+        found = rows.mapInArrow(_scorer(ids, q, score, names), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _scorer(ids: pa.Array, q: np.ndarray, score: Callable, names: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lot = max(1, PAIRS_MOST // max(1, len(q)))
+            for lo in range(0, len(batch) if len(q) else 0, lot):
+                part = batch.slice(lo, lot)
+                i, j, *values = score(q, matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), part.column(0).take(pa.array(j)), *[pa.array(x, pa.float64()) for x in values]], ["qid", "id", *names])
+
+    return run
+
+
+def _all_scores(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    dot = q @ v.T
+    norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+    cosine = np.divide(dot, norms, out=np.zeros_like(dot), where=norms != 0)
+    i, j = np.indices(dot.shape)
+    return i.ravel(), j.ravel(), dot.ravel(), cosine.ravel()
+
+
+def dot_cosine(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(qid, id, dot, cosine) of every query (qid, qv) with every row (id, v); a cosine is 0 where a norm is."""
+    return block_scores(queries, rows, _all_scores, ["dot", "cosine"])
 
 
 def pair_queries(queries: DataFrame, rows: DataFrame, most: int = QUERIES_MOST) -> DataFrame:
@@ -94,11 +151,20 @@ def cascade(queries: DataFrame, rows: DataFrame, threshold: int, mode: str = "of
 
 
 def cosine_i8_search(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """(qid, qb) against (id, b): rows whose signed-byte cosine is at least ``least``; zero vectors are left out."""
-    measured = rows.withColumn("nb", bits.norm_sq_i8(F.col("b"))).where("nb > 0")
-    asked = queries.withColumn("nq", bits.norm_sq_i8(F.col("qb"))).where("nq > 0")
-    cosine = bits.dot_i8(F.col("qb"), F.col("b")).cast("double") / (F.sqrt(F.col("nq").cast("double")) * F.sqrt(F.col("nb").cast("double")))
-    return pair_queries(asked, measured).select("qid", "id", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    """(qid, qb) against (id, b): rows whose signed-byte cosine is at least ``least``; zero vectors are left out. Products of
+    bytes are exact in doubles."""
+
+    def signed(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 127, x - 256, x)
+
+    def score(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        q, v = signed(q), signed(v)
+        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+        cosine = np.divide(q @ v.T, norms, out=np.full(norms.shape, -2.0), where=norms > 0)
+        i, j = np.nonzero((norms > 0) & (cosine >= least))
+        return i, j, cosine[i, j]
+
+    return block_scores(queries.select("qid", F.col("qb").alias("qv")), rows.select("id", F.col("b").alias("v")), score, ["cosine"])
 
 
 CHANNELS = ("meta", "cam", "btree", "embed")

@@ -114,26 +114,31 @@ def softmax_rows(spark, d):
 
 @query(f"WITH {EMB} SELECT label, i, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x), 6) + 0.0 AS var, round(stddev_pop(x), 6) + 0.0 AS std FROM emb GROUP BY label, i")
 def mean_var_std_axis(spark, d):
-    e = emb(spark, d)
-    return e.groupBy("label", "i").agg(r6(F.avg("x"), "mean"), r6(F.var_pop("x"), "var"), r6(F.stddev_pop("x"), "std"))
+    e, by = emb(spark, d), ["label", "i"]
+    out = reduce.mean(e, *by).join(reduce.var(e, *by), by).join(reduce.std(e, *by), by)
+    return out.select(*by, *[r6(F.col(c), c) for c in ("mean", "var", "std")])
 
 
 @query(f"WITH {EMB} SELECT label, i, round(median(x), 6) + 0.0 AS median, round(quantile_cont(x, 0.9::DOUBLE), 6) + 0.0 AS p90 FROM emb GROUP BY label, i")
 def median_percentile_axis(spark, d):
-    e = emb(spark, d)
-    return e.groupBy("label", "i").agg(r6(F.median("x"), "median"), r6(F.percentile("x", F.lit(0.9)), "p90"))
+    e, by = emb(spark, d), ["label", "i"]
+    out = reduce.median(e, *by).join(reduce.percentile(e, 90, *by), by)
+    return out.select(*by, r6(F.col("median"), "median"), r6(F.col("percentile"), "p90"))
 
 
 @query("SELECT o_orderpriority, round(median(o_totalprice), 6) + 0.0 AS median, round(quantile_cont(o_totalprice, 0.25::DOUBLE), 6) + 0.0 AS p25, sum(o_custkey)::BIGINT // count(*) AS int_mean FROM orders GROUP BY o_orderpriority")
 def percentile_orders(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(r6(F.median("o_totalprice"), "median"), r6(F.percentile("o_totalprice", F.lit(0.25)), "p25"), F.call_function("div", F.sum("o_custkey"), F.count("o_custkey")).alias("int_mean"))
+    o, by = table(spark, d, "orders"), "o_orderpriority"
+    out = reduce.median(o, by, x="o_totalprice").join(reduce.percentile(o, 25, by, x="o_totalprice"), by).join(reduce.int_mean(o, by, x="o_custkey"), by)
+    return out.select(by, r6(F.col("median"), "median"), r6(F.col("percentile"), "p25"), F.col("mean").alias("int_mean"))
 
 
 @query(f"WITH {EMB} SELECT vec_id, round(min(x), 6) + 0.0 AS min, round(max(x), 6) + 0.0 AS max, arg_min(i, (x, i)) AS argmin, arg_max(i, (x, -i)) AS argmax, arg_max(i, (abs(x), -i)) AS iamax FROM emb GROUP BY vec_id")
 def min_max_arg(spark, d):
     e = emb(spark, d)
-    i, x = F.col("i"), F.col("x")
-    return e.groupBy("vec_id").agg(r6(F.min("x"), "min"), r6(F.max("x"), "max"), F.min_by("i", F.struct("x", "i")).alias("argmin"), F.max_by("i", F.struct(x, -i)).alias("argmax"), F.max_by("i", F.struct(F.abs(x), -i)).alias("iamax"))
+    out = reduce.extremes(e, "vec_id").join(reduce.arg_extremes(e, "vec_id"), "vec_id")
+    out = out.join(vectors(spark, d).select("vec_id", elementwise.iamax(F.col("v")).cast("bigint").alias("iamax")), "vec_id")
+    return out.select("vec_id", r6(F.col("min"), "min"), r6(F.col("max"), "max"), "argmin", "argmax", "iamax")
 
 
 @query(f"WITH {EMB} SELECT label, i, round(sum(abs(x)), 6) + 0.0 AS l1, round(sqrt(sum(x * x)), 6) + 0.0 AS l2 FROM emb GROUP BY label, i")
@@ -271,11 +276,24 @@ def hamming_radius(spark, d):
     return search.hamming_within(queries, rows, 14)
 
 
-@query(f"WITH {NEAR} SELECT qid, id, dist FROM near WHERE dist <= 14")
+def _at_least(t: float):
+    return lambda x: x.cast("double") >= t
+
+
+WIDE = EMB + """, wide AS (SELECT vec_id, k, i, (x >= (k - 8) / 40.0::DOUBLE)::INT AS b FROM emb, range(16) g(k)),
+near AS (SELECT q.vec_id AS qid, r.vec_id AS id, sum((q.b <> r.b)::INT)::BIGINT AS dist, (sum((q.b <> r.b)::INT) FILTER (k = 0))::BIGINT AS d1, (sum((q.b <> r.b)::INT) FILTER (k < 4))::BIGINT AS d4 FROM wide q JOIN wide r USING (k, i) WHERE q.vec_id % 20 = 0 GROUP BY ALL)"""
+#: Margins of a threshold of 300 of 1,024 bits, from a sixteenth and a quarter of the words.
+SIGMA16, SIGMA4 = 16 * (300 / 1024 * (1 - 300 / 1024) * 64) ** 0.5, 4 * (300 / 1024 * (1 - 300 / 1024) * 256) ** 0.5
+
+
+@query(f"WITH {WIDE} SELECT qid, id, CASE WHEN dist <= 300 THEN dist END AS dist, CASE WHEN 16 * d1 <= 300 + 3 * {SIGMA16} AND 4 * d4 <= 300 + 2 * {SIGMA4} AND dist <= 300 THEN dist END AS staged FROM near WHERE dist <= 300")
 def hamming_adaptive(spark, d):
-    queries, rows = _fp_queries(spark, d)
-    both = search.pair_queries(queries, rows)
-    return both.select("qid", "id", search.hamming_adaptive(F.col("qw"), F.col("w"), 1, 14).alias("dist")).where("dist IS NOT NULL")
+    """Sixteen words for each vector, its signs about sixteen levels: exact, and by the staged estimates."""
+    words = F.concat(*[bits.pack(F.transform("v", _at_least((k - 8) / 40)), 1) for k in range(16)])
+    rows = vectors(spark, d).select(F.col("vec_id").alias("id"), words.alias("w"))
+    both = search.pair_queries(rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("w").alias("qw")), rows)
+    exact, staged = (search.hamming_adaptive(F.col("qw"), F.col("w"), 16, 300, faithful=f) for f in (False, True))
+    return both.select("qid", "id", exact.alias("dist"), staged.alias("staged")).where("dist IS NOT NULL")
 
 
 def _byte_queries(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +395,7 @@ def nearest_entity(spark, d):
 def dot_cosine_pairs(spark, d):
     rows = vectors(spark, d).select(F.col("vec_id").alias("id"), "v")
     queries = rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    return search.pair_queries(queries, rows).select("qid", "id", r6(elementwise.dot(F.col("qv"), F.col("v")), "dot"), r6(elementwise.cosine(F.col("qv"), F.col("v")), "cosine"))
+    return search.dot_cosine(queries, rows).select("qid", "id", r6(F.col("dot"), "dot"), r6(F.col("cosine"), "cosine"))
 
 
 # BF16 and quantisation
@@ -440,8 +458,7 @@ def int8_gemm_f32(spark, d):
 
 @query(f"WITH {EMB} SELECT a.i, b.i AS j, round(sum(a.x * b.x), 6) + 0.0 AS x FROM emb a JOIN emb b ON a.vec_id = b.vec_id AND a.i >= b.i GROUP BY ALL")
 def gram_syrk(spark, d):
-    e = emb(spark, d).select("i", F.col("vec_id").alias("k"), "x")
-    return linalg.syrk(e).select("i", "j", r6(F.col("x"), "x"))
+    return linalg.gram(vectors(spark, d)).where("i >= j").select("i", "j", r6(F.col("x"), "x"))
 
 
 @query(f"WITH {EMB}, v AS (SELECT i AS k, avg(x) AS x FROM emb GROUP BY i) SELECT vec_id AS i, round(2 * sum(emb.x * v.x), 6) + 0.0 AS x FROM emb JOIN v ON v.k = emb.i GROUP BY vec_id")
@@ -475,7 +492,7 @@ def bf16_gemm(spark, d):
 @query(f"WITH {EMB}, g AS (SELECT a.i, b.i AS k, sum(a.x * b.x) AS x FROM emb a JOIN emb b ON a.vec_id = b.vec_id GROUP BY ALL), v AS (SELECT i AS k, avg(x) AS x FROM emb GROUP BY i) SELECT g.i, round(sum(g.x * v.x), 6) + 0.0 AS sym, round(sum(CASE WHEN g.i <= g.k THEN g.x * v.x ELSE 0 END), 6) + 0.0 AS tri FROM g JOIN v USING (k) GROUP BY g.i")
 def symv_trmv(spark, d):
     e = emb(spark, d)
-    half = linalg.syrk(e.select("i", F.col("vec_id").alias("k"), "x"), upper=True).withColumnRenamed("j", "k")
+    half = linalg.gram(vectors(spark, d)).where("i <= j").select("i", F.col("j").alias("k"), "x")
     v = e.groupBy(F.col("i").alias("k")).agg(F.avg("x").alias("x"))
     sym = linalg.symv(half, v, upper=True).select("i", r6(F.col("x"), "sym"))
     return sym.join(linalg.trmv(half, v, upper=True).select("i", r6(F.col("x"), "tri")), "i")
@@ -708,30 +725,58 @@ def organic_flush(spark, d):
     return learn.wal_sequence(_writes(spark, d), TEMPLATES, key="user_id", order="event_id", d=D, channels=4, flush_keep=3)
 
 
-@query()
-def clam_tree(spark, d):
+def _tree(spark, d, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = prints(spark, d).select(F.col("vec_id").alias("id"), "w")
-    return cluster.build_tree(rows)[0]
+    return (*cluster.build_tree(rows, **how), rows)
 
 
-@query()
+@query("SELECT vec_id AS id, TRUE AS inside, TRUE AS counted, TRUE AS small FROM embeddings")
+def clam_tree(spark, d):
+    """Every point of the tree: whether it lies within its leaf's radius and below the root, whether its leaf has as many
+    points as it says, and whether that is a leaf's number or radius."""
+    nodes, members, _ = _tree(spark, d)
+    own = members.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    each = members.join(nodes.where("leaf").select("node", "radius", "card"), "node").join(own, "node")
+    return each.select("id", ((F.col("to_center") <= F.col("radius")) & (F.get("path", 0) == 1) & (F.element_at("path", -1) == F.col("node"))).alias("inside"), (F.col("own") == F.col("card")).alias("counted"), ((F.col("card") <= 16) | (F.col("radius") == 0)).alias("small"))
+
+
+@query("SELECT count(*) AS points, count(*) AS covered, 0::BIGINT AS dearer, 0::BIGINT AS missing FROM embeddings")
 def pancakes(spark, d):
-    rows = prints(spark, d).select(F.col("vec_id").alias("id"), "w")
-    nodes, members = cluster.build_tree(rows)
-    return cluster.compress(nodes, members, rows)
+    """Points below the root, points of leaves, nodes that cost more than storing their points at once, inner nodes without
+    two children."""
+    nodes, members, rows = _tree(spark, d)
+    stored = cluster.compress(nodes, members, rows)
+    dearer = stored.agg(F.coalesce(F.sum(((F.col("best") > F.col("unitary")) | (F.col("best") > F.col("recursive"))).cast("bigint")), F.lit(0)).alias("dearer"))
+    children = nodes.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    missing = nodes.where(~F.col("leaf")).join(children, "node", "left").agg(F.coalesce(F.sum((F.coalesce("n", F.lit(0)) != 2).cast("bigint")), F.lit(0)).alias("missing"))
+    points = nodes.where("depth = 0").select(F.col("card").alias("points"))
+    return points.crossJoin(members.agg(F.count(F.lit(1)).alias("covered"))).crossJoin(dearer).crossJoin(missing)
 
 
-@query()
+def _hop(k: int, of: str) -> str:
+    """SQL of one hop of a trace over sign fingerprints: the entity nearest to the current one without the role."""
+    return f"h{k} AS (SELECT {k} AS depth, arg_min({{'id': vec_id, 'w0': w0, 'w1': w1, 'dist': d}}, (d, vec_id)) AS m FROM (SELECT fp.*, (bit_count(xor(xor(c.w0, r.w0), fp.w0)) + bit_count(xor(xor(c.w1, r.w1), fp.w1)))::BIGINT AS d FROM fp, role r, {of} c))"
+
+
+@query(f"WITH {FP}, ordered AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS n FROM fp), role AS (SELECT w0, w1 FROM ordered WHERE n = 2), c0 AS (SELECT w0, w1 FROM ordered WHERE n = 1), {_hop(0, 'c0')}, c1 AS (SELECT m.w0 AS w0, m.w1 AS w1 FROM h0), {_hop(1, 'c1')}, c2 AS (SELECT m.w0 AS w0, m.w1 AS w1 FROM h1), {_hop(2, 'c2')}, every AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2), t AS (SELECT depth, m.id AS id, m.dist AS dist, min(CASE WHEN m.dist >= 32 THEN depth ELSE 99 END) OVER () AS last FROM every) SELECT depth, id, dist, round(dist / 64.0, 6) + 0.0 AS normalised, dist < 32 AS confident FROM t WHERE depth <= last")
 def reverse_trace(spark, d):
     ent = _symbols(spark, d).select(F.col("vec_id").alias("id"), "s")
     first = ent.orderBy("id").limit(2).collect()
-    return causal.reverse_trace(list(first[0]["s"]), list(first[1]["s"]), ent, symbols.BINARY, 4, 0.5)
+    out = causal.reverse_trace(list(first[0]["s"]), list(first[1]["s"]), ent, symbols.BINARY, 3, 0.5)
+    return out.select("depth", "id", "dist", r6(F.col("normalised"), "normalised"), "confident")
 
 
-@query()
+MOMENTS = EMB + ", mom AS (SELECT a.label::BIGINT AS m, a.i, b.i AS k, avg(a.x * b.x) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END AS x FROM emb a JOIN emb b USING (vec_id) GROUP BY a.label, a.i, b.i)"
+
+
+def moments(spark, d) -> DataFrame:
+    """(m, i, k, x): each label's second moments, plus one on the diagonal."""
+    sums = linalg.gram(vectors(spark, d).withColumn("label", F.col("label").cast("bigint")), "label")
+    return sums.select(F.col("label").alias("m"), "i", F.col("j").alias("k"), (F.col("x") / F.col("n") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("x"))
+
+
+@query(f"WITH {MOMENTS} SELECT m, i, k, round(x, 5) + 0.0 AS x FROM mom")
 def covariance_factors(spark, d):
-    """Cholesky factors of each label's second moments."""
-    e = emb(spark, d)
-    l, r = e.select("vec_id", "label", F.col("i"), F.col("x").alias("xa")), e.select("vec_id", F.col("i").alias("k"), F.col("x").alias("xb"))
-    m = l.join(r, "vec_id").groupBy(F.col("label").cast("bigint").alias("m"), "i", "k").agg((F.avg(F.col("xa") * F.col("xb")) + F.max(F.when(F.col("i") == F.col("k"), 1.0).otherwise(0.0))).alias("x"))
-    return linalg.per_matrix(m, D, "cholesky")
+    """Cholesky factors of each label's second moments, multiplied out again."""
+    factors = linalg.per_matrix(moments(spark, d), D, "cholesky").where("info = 0")
+    return linalg.rebuilt(factors, D, "cholesky").select("m", "i", "k", (F.round("x", 5) + 0.0).alias("x"))

@@ -47,7 +47,7 @@ def test_reductions(spark):
 
 def test_order(spark):
     df = spark.createDataFrame([(i * 7, float(i)) for i in range(50)], "k bigint, x double")
-    got = [r.cumsum for r in ordered.cumsum_all(df, "x", "k", buckets=6).orderBy("k").collect()]
+    got = [r.cumsum for r in ordered.cumsum_all(df, "x", "k", ranges=6).orderBy("k").collect()]
     assert got == np.cumsum(np.arange(50.0)).tolist()
     assert [r.k for r in ordered.top_k(df, "x", 2, "k").collect()] == [343, 336]
     assert ordered.cumsum_all(df.limit(0), "x", "k").count() == 0
@@ -88,6 +88,87 @@ def test_search_agrees_with_scan(spark):
     assert masks.where("node = 1").first().mask == int(np.bitwise_or.reduce(w))
 
 
+def test_hashes_of_bigints_are_sparks(spark):
+    x = [0, 1, -1, 2**62, -(2**63), 987654321]
+    df = spark.createDataFrame([(a, b) for a in x for b in x], "a bigint, b bigint")
+    want = [r[0] for r in df.select(F.xxhash64("a", "b")).collect()]
+    both = np.array([(a, b) for a in x for b in x], np.int64)
+    assert cluster.hash_longs(both[:, 0], both[:, 1]).tolist() == want
+
+
+def test_trees_of_both_ways_are_equal_and_searches_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**62), 2**62, (4, 2))
+    w = [[int(x) for x in base[i % 4] ^ (1 << rng.integers(0, 62, 2))] for i in range(90)] + [[5, 5]] * 12
+    rows = spark.createDataFrame(list(enumerate(w)), "id bigint, w array<bigint>")
+    built = {}
+    for local in (40, 4096):
+        monkeypatch.setattr(cluster, "LOCAL", local)
+        nodes, members = cluster.build_tree(rows, min_cardinality=8)
+        built[local] = (sorted(map(tuple, nodes.collect())), sorted((r.node, r.id, r.to_center, tuple(r.path)) for r in members.collect()))
+    assert built[4096] == built[40] and len(built[40][1]) == 102
+    queries = rows.where("id % 17 = 0").toDF("qid", "qw")
+    dist = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
+    want = sorted((q, i, d, k + 1) for q in range(0, 102, 17) for k, (d, i) in enumerate(sorted((dist(w[q], w[i]), i) for i in range(102))[:7]))
+    masks = cluster.annotate(members, 2)
+    for found in (cluster.knn_sieve(queries, nodes, members, rows, 7), cluster.knn_growing(queries, nodes, members, rows, 7), cluster.knn_sieve(queries, nodes, members, rows, 7, masks)):
+        assert sorted((r.qid, r.id, r.dist, r.rank) for r in found.collect()) == want
+    assert cluster.knn_growing(queries, nodes, members, rows, 500).count() == 6 * 102
+    points = cluster.compressed_points(nodes, members, rows)
+    near = {(q, i): dist(w[q], w[i]) for q in range(0, 102, 17) for i in range(102)}
+    assert {(r.qid, r.id): r.dist for r in cluster.compressed_search(queries, points, 30).collect()} == {k: d for k, d in near.items() if d <= 30}
+    empty, none = cluster.build_tree(rows.limit(0))
+    assert empty.count() == none.count() == cluster.knn_growing(queries, empty, none, rows, 3).count() == 0
+
+
+@pytest.mark.parametrize("most", [4_000_000, 8])
+def test_blocks_of_products(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "NUMBERS_MOST", most)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(9, 4))
+    v[3] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(50, None)], "id bigint, v array<double>")
+    got = {(r.qid, r.id): (r.dot, r.cosine) for r in search.dot_cosine(rows.where("id > 2").toDF("qid", "qv"), rows).collect()}
+    norm = np.sqrt((v * v).sum(axis=1))
+    assert len(got) == 54 and all(a == pytest.approx(v[q] @ v[i]) and b == pytest.approx(v[q] @ v[i] / norm[q] / norm[i] if q != 3 and i != 3 else 0) for (q, i), (a, b) in got.items())
+    assert search.dot_cosine(rows.limit(0).toDF("qid", "qv"), rows).count() == 0
+    by = linalg.gram(rows.withColumn("g", F.when(F.col("id") < 8, F.col("id") % 2)), "g").collect()
+    for g, own in ((0, v[[0, 2, 4, 6]]), (1, v[[1, 3, 5, 7]]), (None, v[8:])):
+        assert all(r.x == pytest.approx((own.T @ own)[r.i, r.j]) and r.n == len(own) for r in by if r.g == g) and sum(r.g == g for r in by) == 16
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="equal sizes"):
+        search.dot_cosine(ragged.toDF("qid", "qv"), ragged)
+
+
+def test_residuals_at_own_positions(spark):
+    wal = learn.Wal(16, 3)
+    for c in range(4):
+        wal.register(c, np.arange(16) % 5 - 2 + c)
+    container = np.arange(16, dtype=float) - 8
+    rest, energy = wal.residual(container, np.array([2.0, 0.0, 0.0, 1.0]))
+    own = set(wal.positions[0].tolist())
+    want = [x - (2 * (j % 5 - 2) + (j % 5 + 1) if j in own else 0) for j, x in enumerate(container)]
+    assert rest.tolist() == want and 0 < len(own) < 16 and energy == pytest.approx(np.mean(np.square(want)))
+    con = spark.createDataFrame([(1, j, float(x)) for j, x in enumerate(container)], "id bigint, j bigint, c double")
+    tem = spark.createDataFrame([(c, j, float(j % 5 - 2 + c)) for c in range(4) for j in range(16)], "concept bigint, j bigint, t double")
+    k = spark.createDataFrame([(1, c, v) for c, v in enumerate([2.0, 0.0, 0.0, 1.0])], "id bigint, concept bigint, k double")
+    assert [r.rest for r in learn.residual(con, tem, k, 3).orderBy("j").collect()] == want
+    told = {r.concept: (r.similarity, r.amplitude) for r in learn.read_all(con, tem, 3).collect()}
+    assert all(told[c] == pytest.approx((s, a)) for c, s, a in wal.read_all(container))
+    wal.update(1, np.ones(16))
+    assert wal.templates[1].sum() == 16
+    masks = {r.channel: [j for j, own in enumerate(r["mask"]) if own] for r in learn.channel_masks(spark, 16, 3).collect()}
+    assert all(masks[c] == wal.positions[c].tolist() for c in range(3))
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(100)] + [(200, None)], "k bigint, x double").repartition(3)
+    got = [r.k for r in ordered.ranked(df, "x", "k").orderBy("place").collect()]
+    assert got == [200, *sorted(range(100), key=lambda i: (i % 7, i))]
+    skewed = spark.createDataFrame([(10**15 * (i % 2) + i, 1) for i in range(60)], "k bigint, x int")
+    assert [r.cumsum for r in ordered.cumsum_all(skewed, "x", "k").orderBy("k").collect()] == list(range(1, 61))
+
+
 def test_cluster_tree_is_whole(spark, monkeypatch):
     assert inspect.signature(cluster.build_tree).parameters["max_depth"].default is None
     # vector i has i + 1 bits of its own: a split parts one point from all others, and the tree is as deep as there are points
