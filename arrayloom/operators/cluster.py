@@ -118,7 +118,9 @@ def _subtrees(open_: DataFrame, depth: int, min_cardinality: int, max_depth: int
             for s in (0, 1):
                 child = 2 * node + s if level < HEAP else -int(hash_longs(np.array([node]), np.array([s]))[0] % (1 << 62)) - 1
                 todo.append((child, level + 1, own[side == bool(s)], [*path, child]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _TREE.split(", ")]).astype({c: "Int64" for c in ("parent", "depth", "center", "radius", "card", "half", "id", "to_center")})
+        names = [c.split()[0] for c in _TREE.split(", ")]
+        whole = {"node", "parent", "depth", "center", "radius", "card", "half", "id", "to_center"}  # by way of floats they would lose digits
+        return pd.DataFrame({n: pd.array(x, "Int64") if n in whole else pd.Series(x, dtype=object) for n, x in zip(names, map(list, zip(*out, strict=True)), strict=True)})
 
     return open_.groupBy("node").applyInPandas(run, _TREE)
 

@@ -24,8 +24,10 @@ NUMBERS_MOST, PAIRS_MOST = 4_000_000, 1 << 20
 
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column as a matrix of doubles; lists of different sizes are an error."""
+    if not len(column):
+        return np.zeros((0, 0))
     flat = column.flatten()
-    if len(column) and len(flat) % len(column) or len(set(column.value_lengths().to_pylist())) > 1:
+    if len(flat) % len(column) or len(set(column.value_lengths().to_pylist())) > 1:
         raise ValueError("vectors must have equal sizes")
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
