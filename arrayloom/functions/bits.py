@@ -44,8 +44,10 @@ def popcount(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.bit_count(x))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two bit vectors of equal size."""
+def hamming(a: Column, b: Column, n_words: int | None = None) -> Column:
+    """Differing bits of two bit vectors of equal size; a known size of few words stays inside generated code."""
+    if n_words is not None and n_words <= 16:
+        return hamming_words([F.get(a, i) for i in range(n_words)], [F.get(b, i) for i in range(n_words)]).cast("bigint")
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 

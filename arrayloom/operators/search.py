@@ -93,15 +93,15 @@ def first_k(df: DataFrame, query: str, order: list[Column], k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hamming_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def hamming_top_k(queries: DataFrame, rows: DataFrame, k: int, n_words: int | None = None) -> DataFrame:
     """(qid, qw) against (id, w): the k nearest by Hamming distance, ties to the smaller id."""
-    near = pair_queries(queries, rows).select("qid", "id", bits.hamming(F.col("qw"), F.col("w")).alias("dist"))
+    near = pair_queries(queries, rows).select("qid", "id", bits.hamming(F.col("qw"), F.col("w"), n_words).alias("dist"))
     return first_k(near, "qid", [F.col("dist"), F.col("id")], k)
 
 
-def hamming_within(queries: DataFrame, rows: DataFrame, rho: int) -> DataFrame:
+def hamming_within(queries: DataFrame, rows: DataFrame, rho: int, n_words: int | None = None) -> DataFrame:
     """All rows within a Hamming distance."""
-    return pair_queries(queries, rows).select("qid", "id", bits.hamming(F.col("qw"), F.col("w")).alias("dist")).where(F.col("dist") <= rho)
+    return pair_queries(queries, rows).select("qid", "id", bits.hamming(F.col("qw"), F.col("w"), n_words).alias("dist")).where(F.col("dist") <= rho)
 
 
 def prefix_estimate(q: Column, w: Column, words: int, total: int) -> Column:
@@ -146,9 +146,9 @@ def score(mode: str, q: Column, b: Column, hamming: Column, n_bytes: int, *, sca
     raise ValueError(mode)
 
 
-def cascade(queries: DataFrame, rows: DataFrame, threshold: int, mode: str = "off", n_bytes: int = 8, **how) -> DataFrame:
+def cascade(queries: DataFrame, rows: DataFrame, threshold: int, mode: str = "off", n_bytes: int = 8, n_words: int | None = None, **how) -> DataFrame:
     """(qid, qw, qb) against (id, w, b): rows within the Hamming threshold, with their precise score."""
-    both = pair_queries(queries, rows).withColumn("hamming", bits.hamming(F.col("qw"), F.col("w"))).where(F.col("hamming") <= threshold)
+    both = pair_queries(queries, rows).withColumn("hamming", bits.hamming(F.col("qw"), F.col("w"), n_words)).where(F.col("hamming") <= threshold)
     return both.select("qid", "id", "hamming", score(mode, F.col("qb"), F.col("b"), F.col("hamming"), n_bytes, **how).alias("precise"))
 
 

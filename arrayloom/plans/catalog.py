@@ -267,13 +267,13 @@ NEAR = FP + ", near AS (SELECT q.vec_id AS qid, r.vec_id AS id, (bit_count(xor(q
 @query(f"WITH {NEAR} SELECT qid, id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INT AS rank FROM near) WHERE rank <= 10")
 def hamming_topk(spark, d):
     queries, rows = _fp_queries(spark, d)
-    return search.hamming_top_k(queries, rows, 10)
+    return search.hamming_top_k(queries, rows, 10, 1)
 
 
 @query(f"WITH {NEAR} SELECT qid, id, dist FROM near WHERE dist <= 14")
 def hamming_radius(spark, d):
     queries, rows = _fp_queries(spark, d)
-    return search.hamming_within(queries, rows, 14)
+    return search.hamming_within(queries, rows, 14, 1)
 
 
 def _at_least(t: float):
@@ -311,21 +311,21 @@ cos AS (SELECT *, CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE dot / (sqrt(na::DOUBL
 @query(f"WITH {HDR} SELECT qid, id, hamming, round(c, 6) + 0.0 AS precise FROM cos")
 def hdr_search_vnni(spark, d):
     queries, rows = _byte_queries(spark, d)
-    out = search.cascade(queries, rows, 20, "vnni", D)
+    out = search.cascade(queries, rows, 20, "vnni", D, 1)
     return out.select("qid", "id", "hamming", r6(F.col("precise"), "precise"))
 
 
 @query(f"WITH {HDR} SELECT qid, id, hamming, round(1 - (hamming / 512.0 * (1 - 0.3) + (1 - c) * 0.3), 6) + 0.0 AS precise FROM cos")
 def hdr_search_delta(spark, d):
     queries, rows = _byte_queries(spark, d)
-    out = search.cascade(queries, rows, 20, "delta_xor", D, delta_weight=0.3)
+    out = search.cascade(queries, rows, 20, "delta_xor", D, 1, delta_weight=0.3)
     return out.select("qid", "id", "hamming", r6(F.col("precise"), "precise"))
 
 
 @query(f"WITH {HDR}, f AS (SELECT vec_id, i, 0.05 * (((q + 256) % 256) - 128) AS y FROM q8), d2 AS (SELECT qid, id, hamming, sum(a.y * b.y) AS dot, sqrt(sum(a.y * a.y)) * sqrt(sum(b.y * b.y)) AS n FROM kept JOIN f a ON a.vec_id = qid JOIN f b ON b.vec_id = id AND b.i = a.i GROUP BY ALL) SELECT qid, id, hamming, CASE WHEN n = 0 THEN 0.0 ELSE round(dot / n, 6) + 0.0 END AS precise FROM d2")
 def hdr_search_f32(spark, d):
     queries, rows = _byte_queries(spark, d)
-    out = search.cascade(queries, rows, 20, "f32", D, scale=0.05, zero_point=128)
+    out = search.cascade(queries, rows, 20, "f32", D, 1, scale=0.05, zero_point=128)
     return out.select("qid", "id", "hamming", r6(F.col("precise"), "precise"))
 
 
@@ -336,7 +336,7 @@ BFD = "(CASE WHEN p & 32768 <> 0 THEN 256 ELSE 0 END + 16 * bit_count(p & 32640)
 def hdr_search_bf16(spark, d):
     rows = vectors(spark, d).select(F.col("vec_id").alias("id"), bits.sign_words(F.col("v"), D).alias("w"), F.transform("v", bf16.from_float).alias("b"))
     queries = rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("w").alias("qw"), F.col("b").alias("qb"))
-    out = search.cascade(queries, rows, 20, "bf16_hamming", 2 * D)
+    out = search.cascade(queries, rows, 20, "bf16_hamming", 2 * D, 1)
     return out.select("qid", "id", "hamming", r6(F.col("precise"), "precise"))
 
 
