@@ -8,11 +8,12 @@ as they are, in four bytes a number where that loses nothing (an array of float)
 
 A query is a row of the table and starts from the neighbours of its own node; in
 each step its best nodes that have not been opened are joined with the graph, and what they lead to joins its pool of
-the best found.
+the best found. Steps end when every node of every pool has been opened. Local joins and lists of those that have a node as
+theirs are samples of bounded size, as the method has it; what they miss is found over other nodes, or shows in the recall.
 
-Defined cases: vectors that are null, zero, or hold a null or a number that is not finite take no part, nor do those whose
-length is not the most common one (the smallest of equally common ones); of a repeated id the smallest vector counts; ties go to
-smaller ids; with fewer candidates than asked all are returned; an empty table gives no rows. Other columns play no part.
+Defined cases: vectors that are null, zero, or hold a null or a number that is not finite take no part; vectors are compared with
+those of their own length, each length by itself; of a repeated id the smallest vector counts; ties go to smaller ids; with
+fewer candidates than asked all are returned; an empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import discard, ship, write_table
+from .session import discard, join_by_weight, ship, write_table
 
-DEGREE = 40
+DEGREE = 24
 #: Rounds of random hyperplanes for the first graph, nodes of a chunk, and neighbours taken from each chunk.
-FORESTS, CHUNK, EARLY = 8, 512, 12
+FORESTS, CHUNK, EARLY = 6, 256, 10
 #: Most rounds of NN-descent, members of a local join, and offers to a member in it.
-ROUNDS, MEMBERS, OFFERS = 6, 72, 6
-#: Search: the pool's size, nodes opened in a step, steps.
-POOL, OPEN, STEPS = 256, 32, 8
+ROUNDS, MEMBERS, OFFERS = 6, 48, 6
+#: Search: the pool's size, nodes opened in a step.
+POOL, OPEN = 64, 32
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -75,10 +76,7 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = table.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v"))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return rows
-    return rows.where(F.size("v") == sizes[0][0]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def as_bytes(table: pa.Array) -> np.ndarray:
@@ -222,7 +220,7 @@ def build_graph(nodes: DataFrame, total: int, size: int, *, degree: int = DEGREE
     return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int, *, pool: int = POOL, steps: int = STEPS) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int, *, pool: int = POOL) -> DataFrame:
     """(query, node, sim): the pool of each query. ``queries`` has query bigint, q binary, and start array<bigint>."""
     both = graph.select("node", "other").union(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other"))
@@ -258,7 +256,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int, *,
             vector = q.take(pa.array(has_q[own_q[keep]][take], mask=~first[take]))
             yield pa.RecordBatch.from_arrays([pa.array(query[keep][take]), vector, table.column(2).combine_chunks().take(rows), pa.array(sim[keep][take]), pa.array((done[keep] | todo)[take]), pa.array(todo[take])], ["query", "q", "node", "sim", "opened", "todo"])
 
-    for _ in range(steps):
+    while True:  # a step opens a node of some pool, and pools only get better
         reached = opened.where("todo").select("query", "node").join(lists, "node").select("query", F.explode("near").alias("node")).distinct()
         fresh = reached.join(opened.select("query", "node"), ["query", "node"], "left_anti").join(nodes.select("node", F.col("q").alias("v")), "node")
         found = fresh.select("query", F.lit(None).cast("binary").alias("q"), "node", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("opened"), "v")
@@ -266,7 +264,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int, *,
         merged = grouped(every, "query", run=merge, schema="query bigint, q binary, node bigint, sim double, opened boolean, todo boolean")
         previous, opened = opened, write_table(merged, "pools")
         discard(previous)
-        if not opened.where("todo").limit(1).count():
+        if opened.where("todo").isEmpty():
             break
     discard(lists)
     return opened.select("query", "node", "sim")
@@ -277,29 +275,34 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     spark = table.sparkSession
     ship(spark)
     rows = write_table(vectors(table, id_col, vector_col), "vectors")
-    nodes = rows.groupBy("v").agg(F.min("vec_id").alias("node"))
     kind = "<f4" if table.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+    found = [_nearest(rows.where(F.size("v") == r[0]), r[0], r[1], kind, k, every) for r in rows.groupBy(F.size("v")).count().orderBy(F.desc("count")).collect()]
+    out = found[0] if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest(rows: DataFrame, size: int, count: int, kind: str, k: int, every: int) -> DataFrame:
+    """``nearest`` among the ``count`` rows (vec_id, v) of vectors of one length."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed(as_bytes(batch.column(1)), kind), pa.binary()), batch.column(1)], ["node", "q", "v"])
-
-    nodes = write_table(nodes.select("node", "v").mapInArrow(pack, "node bigint, q binary, v array<double>"), "nodes")
-    total = nodes.count()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if not total:
-        return spark.createDataFrame([], empty)
-    size = nodes.select(F.size("v")).first()[0]
-    graph = build_graph(nodes, total, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed(as_bytes(batch.column(2)), kind), pa.binary()), batch.column(2)], ["node", "n", "q", "v"])
+
+    nodes = rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    nodes = write_table(nodes.select("node", "n", "v").mapInArrow(pack, "node bigint, n bigint, q binary, v array<double>"), "nodes")
+    graph = build_graph(nodes, nodes.count(), size)
     # equal vectors: a node's k + 1 smallest ids are all that a result can hold of it
-    own = rows.join(nodes.select("node", "v"), "v").select("node", "vec_id")
+    own = write_table(join_by_weight(rows, nodes.select("v", "node", "n"), ["v"], "n", count).select("node", "vec_id"), "own")
     place = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
     members = own.withColumn("place", place).where(F.col("place") <= k + 1).select("node", "vec_id")
-    asked = own.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "q", F.array("node").alias("start"))
+    asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"))
+    names = write_table(asked.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "names")
+    queries = nodes.join(names.select(F.col("query").alias("node")), "node", "left_semi").select(F.col("node").alias("query"), "q", F.array("node").alias("start"))
     pools = search(nodes, graph, write_table(queries, "queries"), size)
-    pools = pools.select("query", "node").union(asked.select(F.col("node").alias("query"), "node")).distinct()
+    pools = pools.select("query", "node").union(names.select("query", F.col("query").alias("node"))).distinct()
     a, b = nodes.select(F.col("node").alias("query"), F.col("v").alias("qv")), nodes.select("node", "v")
     scored = pools.join(b, "node").join(a, "query")
 
@@ -314,7 +317,8 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     order = [F.desc("score"), F.col("vec_id")]
     top = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k + 1)
     lists = top.groupBy("query").agg(F.collect_list(F.struct("place", "vec_id", "score")).alias("found"))
-    out = asked.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id")).join(lists, "query")
+    lists = write_table(lists.join(names, "query"), "found")
+    out = join_by_weight(asked, lists, ["query"], "n", names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     kept = F.filter(F.array_sort("found"), lambda x: x["vec_id"] != F.col("query_id"))
     out = out.select("query_id", F.posexplode(F.slice(kept, 1, k)).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

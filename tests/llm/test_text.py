@@ -391,6 +391,21 @@ def test_neighbours(spark):
     assert [r.vec_id for r in neighbours.nearest(df.where("vec_id in (20, 21)")).collect()] == [21]
 
 
+def test_neighbours_of_each_length_and_hot_vectors(spark, monkeypatch):
+    monkeypatch.setattr(session, "HEAVY_ROWS", 3)
+    rng = np.random.default_rng(15)
+    x = {i: rng.normal(size=4 if i % 3 else 2).tolist() for i in range(60)}
+    x |= {i: [1.0, 2.0, 3.0, 4.0] for i in range(100, 200)}
+    df = spark.createDataFrame([(i, v, i, "q") for i, v in x.items()] + [(20, [1e300] * 4, 1, "again")], "vec_id bigint, embedding array<double>, node bigint, q string")
+    got = {}
+    for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (i for i in x if i % 20 == 0):
+        s = {i: float(np.dot(x[q], v)) for i, v in x.items() if i != q and len(v) == len(x[q])}
+        want = sorted(s, key=lambda i: (-round(s[i], 9), i))[:20]
+        assert len(set(want) & set(got[q])) >= 0.9 * len(want), q
+
+
 def test_neighbours_among_near_copies(spark):
     rng = np.random.default_rng(6)
     x = (rng.normal(size=16) + 0.0005 * rng.normal(size=(1500, 16))).astype(np.float32)
