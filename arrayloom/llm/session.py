@@ -63,7 +63,7 @@ def join_by_weight(rows: DataFrame, side: DataFrame, keys: list[str], weight: st
     light = side.where(F.col(weight) <= floor).drop(weight)
     heavy = F.broadcast(side.where(F.col(weight) > floor).drop(weight))
     rest = rows.join(heavy.select(*keys), keys, "left_anti")
-    return rest.join(light, keys).unionByName(rows.join(heavy, keys))
+    return rest.join(light.hint("shuffle_hash"), keys).unionByName(rows.join(heavy, keys))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:

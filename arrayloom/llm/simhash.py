@@ -327,10 +327,10 @@ def keep_one(docs: DataFrame, *, radius: int = 3, shingle: int = 3, id_col: str
     once = _semi(keyed, first.where("rows = 1"), id_col, tag)
     out = once
     if not first.where("rows > 1").isEmpty():
-        out = once.unionByName(_semi(keyed, first.where("rows > 1"), id_col, tag).withColumn("_t", tag).dropDuplicates([id_col, "_t"]).drop("_t"))
+        out = once.unionByName(_semi(keyed, first.where("rows > 1"), id_col, tag).withColumn("_near_t", tag).dropDuplicates([id_col, "_near_t"]).drop("_near_t"))
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def _semi(docs: DataFrame, keys: DataFrame, id_col: str, tag) -> DataFrame:
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).hint("shuffle_hash")
-    return docs.join(keys, (docs[id_col] == F.col("_id")) & (tag == F.col("_t")), "left_semi")
+    keys = keys.select(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t")).hint("shuffle_hash")
+    return docs.join(keys, (docs[id_col] == F.col("_near_id")) & (tag == F.col("_near_t")), "left_semi")
