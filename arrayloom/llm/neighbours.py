@@ -37,8 +37,9 @@ ROUNDS, MEMBERS, OFFERS = 6, 48, 6
 POOL, OPEN = 64, 32
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Tables of whole groups of the first column of sorted rows, of about ``most`` rows."""
+def groups_of(batches: Iterator[pa.RecordBatch], most: int, whole: bool = True) -> Iterator[pa.Table]:
+    """Tables of whole groups of the first column of sorted rows, of about ``most`` rows; if not ``whole``, a group of more
+    rows than that comes in parts."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -49,7 +50,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
         if rows >= most:
             table = pa.Table.from_batches(held).combine_chunks()
             key = table.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
+            cut = int(np.searchsorted(key, key[-1])) or (0 if whole else len(table))
             if cut:
                 yield table.slice(0, cut)
                 held = table.slice(cut).to_batches()
@@ -150,7 +151,7 @@ def first_graph(nodes: DataFrame, total: int, size: int, degree: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64) * FORESTS + f), pa.array(fine.astype(np.int64)), pa.array(along[:, -1].copy()), batch.column(0), batch.column(1)], ["bucket", "fine", "along", "node", "q"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, 20_000):
+        for table in groups_of(batches, 20_000, whole=False):
             node, v = table.column(3).to_numpy(), restored(table.column(4), size)
             cut = bounds(table.column(0).to_numpy())
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -165,7 +166,11 @@ def first_graph(nodes: DataFrame, total: int, size: int, degree: int) -> DataFra
                     yield edges(np.repeat(node[own], k), node[own][near].reshape(-1), np.take_along_axis(sim, near, 1).reshape(-1), np.ones(len(own) * k, bool))
 
     filed = nodes.select("node", "q").mapInArrow(file, "bucket bigint, fine bigint, along double, node bigint, q binary")
-    return keep_best(grouped(filed, "bucket", "fine", "along", "node", run=run, schema=EDGES), degree)
+    # ranges by sampled quantiles cut buckets of many near copies along the projection, so no task gets one whole
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["bucket", "fine", "along", "node"]
+    found = filed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, EDGES)
+    return keep_best(found, degree)
 
 
 def descend(nodes: DataFrame, graph: DataFrame, size: int, degree: int) -> DataFrame:
