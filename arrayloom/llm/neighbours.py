@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import discard, join_by_weight, ship, write_table
 
-DEGREE = 24
+DEGREE = 32
 #: Rounds of random hyperplanes for the first graph, nodes of a chunk, and neighbours taken from each chunk.
-FORESTS, CHUNK, EARLY = 6, 256, 10
+FORESTS, CHUNK, EARLY = 8, 512, 12
 #: Most rounds of NN-descent, members of a local join, and offers to a member in it.
-ROUNDS, MEMBERS, OFFERS = 6, 48, 6
+ROUNDS, MEMBERS, OFFERS = 6, 64, 6
 #: Search: the pool's size, nodes opened in a step.
-POOL, OPEN = 64, 32
+POOL, OPEN = 192, 32
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], most: int, whole: bool = True) -> Iterator[pa.Table]:
