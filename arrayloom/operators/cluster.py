@@ -59,9 +59,13 @@ def _rotated(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
 
+#: The primes of XXH64.
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
 def hash_longs(*parts: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of bigint columns."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in PRIMES)
     h = np.uint64(42)
     with np.errstate(over="ignore"):
         for part in parts:
