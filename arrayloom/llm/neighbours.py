@@ -1,15 +1,15 @@
-"""Approximate nearest neighbours by inner product: NN-descent builds a graph, greedy search over it answers queries.
+"""Approximate nearest neighbours by inner product: NN-descent builds graphs, greedy search over them answers queries.
 
-Equal vectors are one node. A first graph joins nodes that random hyperplanes put together, compared in chunks of
-bounded size. Each round of NN-descent then joins neighbours of neighbours: a node gathers its neighbours and a sample
-of those that have it as theirs, compares the pairs that are new, and offers each member the closest it has not kept; a
-member keeps its best. Rounds end when few lists change. Products are taken in double precision everywhere: vectors travel
-as they are, in four bytes a number where that loses nothing (an array of float) and in eight elsewhere.
+Equal vectors are one node. Nodes are dealt to shards of bounded size by a hash of their id; one task makes the graph of a
+shard by NN-descent and searches it for every query (``descent``), so a vector travels once and what is shuffled for the
+queries is one row a query and shard. A shard's pool of each query is scored in double precision, and a query's best over
+all shards are kept. Shards are handled in waves, so the copies of the queries on disk stay within a multiple of the table.
+A table beyond that has more shards, not larger ones, so each is searched as well as before, and the work of a query grows
+with the number of shards.
 
-A query is a row of the table and starts from the neighbours of its own node; in
-each step its best nodes that have not been opened are joined with the graph, and what they lead to joins its pool of
-the best found. Steps end when every node of every pool has been opened. Local joins and lists of those that have a node as
-theirs are samples of bounded size, as the method has it; what they miss is found over other nodes, or shows in the recall.
+Vectors travel in four bytes a number where that loses nothing (an array of float) and in eight elsewhere. Searches take
+products in four bytes only where the numbers have no more, products stay in range (``descent.working``) and no groups of
+near copies need more (``Graph.tight``).
 
 Defined cases: vectors that are null, zero, or hold a null or a number that is not finite take no part; vectors are compared with
 those of their own length, each length by itself; of a repeated id the smallest vector counts; ties go to smaller ids; with
@@ -18,7 +18,7 @@ fewer candidates than asked all are returned; an empty table gives no rows. Othe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,253 +26,178 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .descent import Graph, working
 from .session import discard, join_by_weight, ship, write_table
 
-DEGREE = 32
-#: Rounds of random hyperplanes for the first graph, nodes of a chunk, and neighbours taken from each chunk.
-FORESTS, CHUNK, EARLY = 8, 512, 12
-#: Most rounds of NN-descent, members of a local join, and offers to a member in it.
-ROUNDS, MEMBERS, OFFERS = 6, 64, 6
-#: Search: the pool's size, nodes opened in a step.
-POOL, OPEN = 192, 32
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], most: int, whole: bool = True) -> Iterator[pa.Table]:
-    """Tables of whole groups of the first column of sorted rows, of about ``most`` rows; if not ``whole``, a group of more
-    rows than that comes in parts."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        rows += len(batch)
-        if rows >= most:
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1])) or (0 if whole else len(table))
-            if cut:
-                yield table.slice(0, cut)
-                held = table.slice(cut).to_batches()
-            rows = sum(map(len, held)) if cut else 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def bounds(key: np.ndarray) -> list[int]:
-    """Where groups of equal keys start, and the end."""
-    return [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
-
-
-def grouped(df: DataFrame, *order: str, run: Callable, schema: str) -> DataFrame:
-    """Send rows to their first column's partition, sort them there, and map whole groups."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [df[c] if not c.startswith("-") else df[c[1:]].desc() for c in order]
-    return df.repartition(n, order[0]).sortWithinPartitions(*columns).mapInArrow(run, schema)
-
-
-def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (array of double) of the rows that take part."""
-    v = F.col(vector_col)
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = table.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v"))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-def as_bytes(table: pa.Array) -> np.ndarray:
-    """A list column of doubles as a matrix."""
-    return table.flatten().to_numpy().reshape(len(table), -1)
+#: Most nodes and numbers of a shard, nodes that make another one worth a task, and shards of a wave.
+SHARD, NUMBERS, LEAST, WAVE = 48_000, 1 << 24, 4096, 40
+#: The search's pool, twice that where a query's best lie in fewer than ``FEW`` shards, and queries searched at once, and numbers of a temporary array.
+POOL, FEW, ASKED, BLOCK = 96, 4, 8192, 1 << 22
 
 
 def packed(v: np.ndarray, kind: str) -> list[bytes]:
-    """Each vector as the bytes of its numbers, as ``kind`` (``<f4`` or ``<f8``)."""
-    return [r.tobytes() for r in v.astype(kind)]
+    """Each vector as bytes, as ``kind`` (``f4`` or ``f8``), in the order of the vectors."""
+    u = kind.replace("f", "u")
+    bits = (v + 0.0).astype(kind).view(u)  # one zero
+    top = np.array(1 << 8 * bits.itemsize - 1, u)
+    data = np.where(bits & top, ~bits, bits | top).astype(f">{u}")
+    return [r.tobytes() for r in data]
 
 
 def restored(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     """Packed vectors of ``size`` numbers as a matrix of doubles."""
     data, at = K.buffers(column)
     rows = np.ascontiguousarray(data[at[0] : at[-1]]).reshape(len(at) - 1, -1)
-    return rows.view(f"<f{rows.shape[1] // size}").astype(np.float64)
-
-
-def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, new: np.ndarray, degree: int) -> np.ndarray:
-    """Rows to keep of each node: its ``degree`` closest others, of repeated ones the one that is not new."""
-    order = np.lexsort((new, other, node))
-    n, o = node[order], other[order]
-    order = order[np.concatenate(([True], (n[1:] != n[:-1]) | (o[1:] != o[:-1])))] if len(order) else order
-    order = order[np.lexsort((other[order], -sim[order], node[order]))]
-    n = node[order]
-    first = np.concatenate(([0], np.flatnonzero(n[1:] != n[:-1]) + 1)) if len(n) else np.zeros(0, np.int64)
-    rank = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
-    return order[rank < degree]
-
-
-EDGES = "node bigint, other bigint, sim double, new boolean"
-
-
-def edges(node: np.ndarray, other: np.ndarray, sim: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(sim.astype(np.float64)), pa.array(new)], ["node", "other", "sim", "new"])
-
-
-def keep_best(offers: DataFrame, degree: int) -> DataFrame:
-    """The best edges of each node; thinned out within each partition before the shuffle."""
+    u = f"u{rows.shape[1] // size}"
+    bits = rows.view(f">{u}").astype(u)
+    top = np.array(1 << 8 * bits.itemsize - 1, u)
+    return np.where(bits & top, bits ^ top, ~bits).view(u.replace("u", "f")).astype(np.float64)
 
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, other, sim, new = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            keep = best(node, other, sim, new, degree)
-            yield edges(node[keep], other[keep], sim[keep], new[keep])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, 200_000):
-            node, other, sim, new = (table.column(i).to_numpy() for i in range(4))
-            keep = best(node, other, sim, new, degree)
-            yield edges(node[keep], other[keep], sim[keep], new[keep])
 
-    return grouped(offers.mapInArrow(thin, EDGES), "node", run=run, schema=EDGES)
+def bounds(key: np.ndarray) -> list[int]:
+    """Where groups of equal keys start, and the end."""
+    return [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
 
 
-def first_graph(nodes: DataFrame, total: int, size: int, degree: int) -> DataFrame:
-    """Edges among the nodes that random hyperplanes put together. Those that no hyperplane parts (near copies) are put in
-    the order of a projection, another one in each forest."""
-    depth = max(0, int(np.ceil(np.log2(max(1, total / CHUNK)))))
-    planes = np.random.default_rng(17).normal(size=(FORESTS, depth + 9, size))
+def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id, size, q (packed) of the rows that take part."""
+    kind = "f4" if table.schema[vector_col].dataType.elementType.typeName() == "float" else "f8"
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = restored(batch.column(1), size)
-            for f in range(FORESTS):
-                along = v @ planes[f].T
-                side = along[:, :-1] > 0
-                bucket = side[:, :depth] @ (1 << np.arange(depth)) if depth else np.zeros(len(v), np.int64)
-                fine = side[:, depth:] @ (1 << np.arange(8))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64) * FORESTS + f), pa.array(fine.astype(np.int64)), pa.array(along[:, -1].copy()), batch.column(0), batch.column(1)], ["bucket", "fine", "along", "node", "q"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, 20_000, whole=False):
-            node, v = table.column(3).to_numpy(), restored(table.column(4), size)
-            cut = bounds(table.column(0).to_numpy())
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)  # nulls as NaN
+            start = np.cumsum(sizes) - sizes
+
+            def count(of: np.ndarray, start: np.ndarray = start, sizes: np.ndarray = sizes) -> np.ndarray:
+                sums = np.append(0, np.cumsum(of))
+                return sums[start + sizes] - sums[start]
+
+            fit = (count(~np.isfinite(values)) == 0) & (count(values != 0) > 0)
+            for size in np.unique(sizes[fit]).tolist():
+                every, step = np.flatnonzero(fit & (sizes == size)), max(1, BLOCK // size)
+                for lo in range(0, len(every), step):
+                    own = every[lo : lo + step]
+                    v = values[start[own, None] + np.arange(size)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.full(len(own), size, np.int32)), pa.array(packed(v, kind), pa.binary())], ["vec_id", "size", "q"])
+
+    v = F.col(vector_col).cast("array<float>" if kind == "f4" else "array<double>")
+    rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
+    return rows.mapInArrow(pack, "vec_id bigint, size int, q binary").groupBy("vec_id").agg(F.min(F.struct("q", "size")).alias("r")).select("vec_id", "r.size", "r.q")
+
+
+FOUND = "query bigint, found binary"
+
+
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> bytes:
+    """The ``k`` best of distinct nodes, as bytes: the ids, then the scores."""
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order].astype("<i8").tobytes() + scores[order].astype("<f8").tobytes()
+
+
+def parts(found: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``best`` has written."""
+    half = len(found) // 2
+    return np.frombuffer(found, "<i8", half // 8), np.frombuffer(found, "<f8", half // 8, half)
+
+
+def search(nodes: DataFrame, queries: DataFrame, size: int, total: int, k: int, *, pool: int = POOL) -> DataFrame:
+    """(query, node, score): the ``k`` best found of each query. ``nodes`` has node, q; ``queries`` query, q."""
+    spark = nodes.sparkSession
+    most, step = max(1, min(SHARD, NUMBERS // size)), max(1, BLOCK // size)
+    shards = max(-(-total // most), min(spark.sparkContext.defaultParallelism, -(-total // LEAST)), 1)
+    pool = max(pool if shards >= FEW else 2 * pool, 2 * k)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        graph = ids = v = x = None
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            for at in range(0, len(table), min(ASKED, step)):
+                part = table.slice(at, min(ASKED, step))
+                query, q = part.column(2).to_numpy(), restored(part.column(3), size)
+                own = q.astype(x.dtype) if x.dtype == np.float64 else working(q)
+                near = graph.search(x if own.dtype == x.dtype else v, own, pool)
+                row, place = np.nonzero(near >= 0)
+                node = near[row, place]
+                score = np.empty(len(node))
+                for lo in range(0, len(node), step):
+                    score[lo : lo + step] = np.einsum("ij,ij->i", v[node[lo : lo + step]], q[row[lo : lo + step]])
+                cut = np.searchsorted(row, np.arange(len(query) + 1))
+                found = [best(ids[node[lo:hi]], score[lo:hi], k) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found, pa.binary())], ["query", "found"])
+
+        shard: int | None = None
+        for batch in batches:  # of each shard the nodes, then all queries
+            cut = bounds(batch.column(0).to_numpy())
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                pieces = max(1, round((hi - lo) / CHUNK))
-                for own in np.array_split(np.arange(lo, hi), pieces):
-                    k = min(EARLY, len(own) - 1)
-                    if k < 1:
+                piece = batch.slice(lo, hi - lo)
+                if piece.column(0)[0].as_py() != shard:
+                    if graph is not None and held:
+                        yield from asked()
+                    shard, graph, held = piece.column(0)[0].as_py(), None, []
+                first = int(np.searchsorted(piece.column(1).to_numpy(), 1))
+                if graph is None:
+                    held.append(piece.slice(0, first))
+                    if first == len(piece):
                         continue
-                    sim = v[own] @ v[own].T
-                    np.fill_diagonal(sim, -np.inf)
-                    near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                    yield edges(np.repeat(node[own], k), node[own][near].reshape(-1), np.take_along_axis(sim, near, 1).reshape(-1), np.ones(len(own) * k, bool))
-
-    filed = nodes.select("node", "q").mapInArrow(file, "bucket bigint, fine bigint, along double, node bigint, q binary")
-    # ranges by sampled quantiles cut buckets of many near copies along the projection, so no task gets one whole
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["bucket", "fine", "along", "node"]
-    found = filed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, EDGES)
-    return keep_best(found, degree)
-
-
-def descend(nodes: DataFrame, graph: DataFrame, size: int, degree: int) -> DataFrame:
-    """One round: the offers of all local joins."""
-    worst = graph.groupBy("node").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") >= degree, F.col("worst")).otherwise(F.lit(float("-inf"))).alias("worst"))
-    told = nodes.select("node", "q").join(worst, "node")
-    ahead = graph.select(F.col("node").alias("at"), F.col("other").alias("node"), "new", F.lit(0).alias("way"))
-    back = graph.select(F.col("other").alias("at"), "node", "new", F.lit(1).alias("way"))
-    both = ahead.union(back).groupBy("at", "node").agg(F.min("way").alias("way"), F.max("new").alias("new"))
-    place = F.row_number().over(Window.partitionBy("at").orderBy("way", F.desc("new"), F.xxhash64("at", "node"), "node"))
-    members = both.withColumn("place", place).where(F.col("place") <= MEMBERS).select("at", "node", "new")
-    sent = members.join(told, "node").select("at", "node", "new", "worst", "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, 20_000):
-            node, new, low = table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).to_numpy()
-            v = restored(table.column(4), size)
-            cut = bounds(table.column(0).to_numpy())
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                fresh = new[lo:hi]
-                if hi - lo < 2 or not fresh.any():
-                    continue
-                own = v[lo:hi]
-                sim = own @ own.T
-                np.fill_diagonal(sim, -np.inf)
-                if not fresh.all():
-                    sim[np.ix_(~fresh, ~fresh)] = -np.inf
-                k = min(OFFERS, hi - lo - 1)
-                near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                close = np.take_along_axis(sim, near, 1)
-                i, j = np.nonzero(close > low[lo:hi, None])
-                out.append((node[lo:hi][i], node[lo:hi][near[i, j]], close[i, j]))
-            if out:
-                a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield edges(a, b, s, np.ones(len(a), bool))
-
-    return grouped(sent, "at", run=run, schema=EDGES)
-
-
-def build_graph(nodes: DataFrame, total: int, size: int, *, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The written neighbour graph: node, other, sim, new."""
-    graph = write_table(first_graph(nodes, total, size, degree), "graph")
-    for _ in range(rounds):
-        old = graph.withColumn("new", F.lit(False))
-        graph_next = write_table(keep_best(old.unionByName(descend(nodes, graph, size, degree)), degree), "graph")
-        changed = graph_next.where("new").count()
-        discard(graph)
-        graph = graph_next
-        if changed <= 0.01 * total * degree:
-            break
-    return graph
-
-
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int, *, pool: int = POOL) -> DataFrame:
-    """(query, node, sim): the pool of each query. ``queries`` has query bigint, q binary, and start array<bigint>."""
-    both = graph.select("node", "other").union(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other"))
-    kept = graph.select("node", "other").union(both.withColumn("place", place).where(F.col("place") <= DEGREE).select("node", "other")).distinct()
-    lists = write_table(kept.groupBy("node").agg(F.collect_list("other").alias("near")), "lists")
-    # a row for each member of a pool. opened: its list has been looked at; todo: it is looked at in this step. A query's
-    # vector stands in its first row.
-    state = queries.select("query", "q", F.explode("start").alias("node"), F.lit(None).cast("double").alias("sim"), F.lit(True).alias("opened"), F.lit(True).alias("todo"))
-    opened = write_table(state, "pools")
+                    table = pa.Table.from_batches(held)
+                    ids, v = table.column(2).to_numpy(), restored(table.column(3), size)
+                    x, held = working(v), []
+                    graph = Graph(x) if len(v) else None
+                    if graph is not None and graph.tight():
+                        x, graph = v, Graph(v)
+                if graph is not None:
+                    held.append(piece.slice(first))
+                    if sum(map(len, held)) >= ASKED:
+                        yield from asked()
+                        held = []
+        if graph is not None and held:
+            yield from asked()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, 50_000):
-            query, node = table.column(0).to_numpy(), table.column(2).to_numpy()
-            sim = np.nan_to_num(table.column(3).to_numpy(), nan=np.inf)  # a start without a value counts as best
-            done = table.column(4).to_numpy()
-            q, v = table.column(1).combine_chunks(), table.column(5).combine_chunks()
-            has_q, has_v = (np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in (q, v))
-            has_q = has_q[bounds(query[has_q])[:-1]]
-            own_q = np.searchsorted(query[has_q], query)
-            if len(has_v):
-                asked, found = restored(q.take(pa.array(has_q)), size), restored(v.take(pa.array(has_v)), size)
-                for lo in range(0, len(has_v), 4096):
-                    at = has_v[lo : lo + 4096]
-                    sim[at] = np.einsum("ij,ij->i", found[lo : lo + 4096], asked[own_q[at]])
-            keep = np.lexsort((node, -sim, query))
-            cut = bounds(query[keep])
-            take, todo, first = np.zeros(len(keep), bool), np.zeros(len(keep), bool), np.zeros(len(keep), bool)
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                end = min(hi, lo + pool)
-                take[lo:end] = first[lo] = True
-                todo[lo + np.flatnonzero(~done[keep[lo:end]])[:OPEN]] = True
-            rows = pa.array(keep[take])
-            vector = q.take(pa.array(has_q[own_q[keep]][take], mask=~first[take]))
-            yield pa.RecordBatch.from_arrays([pa.array(query[keep][take]), vector, table.column(2).combine_chunks().take(rows), pa.array(sim[keep][take]), pa.array((done[keep] | todo)[take]), pa.array(todo[take])], ["query", "q", "node", "sim", "opened", "todo"])
-
-    while True:  # a step opens a node of some pool, and pools only get better
-        reached = opened.where("todo").select("query", "node").join(lists, "node").select("query", F.explode("near").alias("node")).distinct()
-        fresh = reached.join(opened.select("query", "node"), ["query", "node"], "left_anti").join(nodes.select("node", F.col("q").alias("v")), "node")
-        found = fresh.select("query", F.lit(None).cast("binary").alias("q"), "node", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("opened"), "v")
-        every = found.unionByName(opened.select("query", "q", "node", "sim", "opened", F.lit(None).cast("binary").alias("v")))
-        merged = grouped(every, "query", run=merge, schema="query bigint, q binary, node bigint, sim double, opened boolean, todo boolean")
-        previous, opened = opened, write_table(merged, "pools")
-        discard(previous)
-        if opened.where("todo").isEmpty():
-            break
-    discard(lists)
-    return opened.select("query", "node", "sim")
+        query: int | None = None
+        held: list[bytes] = []
+        for batch in batches:
+            names, founds = [], []
+            for own, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != query and held:
+                    names.append(query), founds.append(join(held))
+                    held = []
+                query = own
+                held.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(founds, pa.binary())], ["query", "found"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([query], pa.int64()), pa.array([join(held)], pa.binary())], ["query", "found"])
+
+    def join(held: list[bytes]) -> bytes:
+        ids, scores = zip(*map(parts, held), strict=True)
+        return best(np.concatenate(ids), np.concatenate(scores), k)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ids, scores = zip(*map(parts, batch.column(1).to_pylist()), strict=True)
+                query = np.repeat(batch.column(0).to_numpy(), [len(i) for i in ids])
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query", "node", "score"])
+
+    shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
+    dealt = nodes.select(shard.alias("shard"), F.lit(0).alias("kind"), F.col("node").alias("id"), "q")
+    found: DataFrame | None = None
+    for lo in range(0, shards, WAVE):
+        hi = min(shards, lo + WAVE)
+        each = F.explode(F.array(*(F.lit(i) for i in range(lo, hi))))
+        rows = dealt.where(F.col("shard").between(lo, hi - 1)).unionByName(queries.select(each.alias("shard"), F.lit(1).alias("kind"), F.col("query").alias("id"), "q"))
+        rows = rows.withColumn("shard", F.col("shard") - lo)
+        answers = rows.repartitionById(hi - lo, F.col("shard")).sortWithinPartitions("shard", "kind", "id").mapInArrow(answer, FOUND)
+        before = found
+        answers = answers if before is None else answers.unionByName(before)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = write_table(answers.repartition(n, "query").sortWithinPartitions("query").mapInArrow(merge, FOUND), "answers")
+        if before is not None:
+            discard(before)
+    return found.mapInArrow(explode, "query bigint, node bigint, score double")
 
 
 def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -280,45 +205,33 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     spark = table.sparkSession
     ship(spark)
     rows = write_table(vectors(table, id_col, vector_col), "vectors")
-    kind = "<f4" if table.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
-    found = [_nearest(rows.where(F.size("v") == r[0]), r[0], r[1], kind, k, every) for r in rows.groupBy(F.size("v")).count().orderBy(F.desc("count")).collect()]
+    found = [_nearest(rows.where(F.col("size") == r[0]), r[0], r[1], k, every) for r in rows.groupBy("size").count().orderBy(F.desc("count")).collect()]
     out = found[0] if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _nearest(rows: DataFrame, size: int, count: int, kind: str, k: int, every: int) -> DataFrame:
-    """``nearest`` among the ``count`` rows (vec_id, v) of vectors of one length."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed(as_bytes(batch.column(2)), kind), pa.binary()), batch.column(2)], ["node", "n", "q", "v"])
-
-    nodes = rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = write_table(nodes.select("node", "n", "v").mapInArrow(pack, "node bigint, n bigint, q binary, v array<double>"), "nodes")
-    graph = build_graph(nodes, nodes.count(), size)
-    # equal vectors: a node's k + 1 smallest ids are all that a result can hold of it
-    own = write_table(join_by_weight(rows, nodes.select("v", "node", "n"), ["v"], "n", count).select("node", "vec_id"), "own")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
-    members = own.withColumn("place", place).where(F.col("place") <= k + 1).select("node", "vec_id")
+def _nearest(rows: DataFrame, size: int, count: int, k: int, every: int) -> DataFrame:
+    """``nearest`` among the ``count`` rows (vec_id, q) of vectors of one length."""
+    nodes = write_table(rows.groupBy("q").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    total = nodes.count()
+    # the rows of vectors that stand once are their nodes; the others meet their node by weight
+    own = nodes.where("n = 1").select("node", F.col("node").alias("vec_id"))
+    several = None
+    if total < count:
+        several = write_table(join_by_weight(rows.select("vec_id", "q"), nodes.where("n > 1").select("q", "node", "n"), ["q"], "n", count).select("node", "vec_id"), "own")
+        own = own.unionByName(several)
     asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"))
     names = write_table(asked.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "names")
-    queries = nodes.join(names.select(F.col("query").alias("node")), "node", "left_semi").select(F.col("node").alias("query"), "q", F.array("node").alias("start"))
-    pools = search(nodes, graph, write_table(queries, "queries"), size)
-    pools = pools.select("query", "node").union(names.select("query", F.col("query").alias("node"))).distinct()
-    a, b = nodes.select(F.col("node").alias("query"), F.col("v").alias("qv")), nodes.select("node", "v")
-    scored = pools.join(b, "node").join(a, "query")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                s = np.einsum("ij,ij->i", as_bytes(batch.column(2)), as_bytes(batch.column(3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query", "node", "score"])
-
-    scored = scored.select("query", "node", "qv", "v").mapInArrow(score, "query bigint, node bigint, score double")
-    each = scored.join(members, "node").select("query", "vec_id", "score")
+    queries = write_table(nodes.join(names.select(F.col("query").alias("node")), "node", "left_semi").select(F.col("node").alias("query"), "q"), "queries")
+    each = search(nodes.select("node", "q"), queries, size, total, k + 1)
+    if several is None:
+        each = each.select("query", F.col("node").alias("vec_id"), "score")
+    else:  # a node's k + 1 smallest ids are all that a result can hold of it
+        place = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
+        members = several.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("node").agg(F.collect_list("vec_id").alias("members"))
+        each = each.join(members, "node", "left").select("query", F.explode(F.coalesce("members", F.array("node"))).alias("vec_id"), "score")
     order = [F.desc("score"), F.col("vec_id")]
     top = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k + 1)
     lists = top.groupBy("query").agg(F.collect_list(F.struct("place", "vec_id", "score")).alias("found"))

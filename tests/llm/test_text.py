@@ -416,3 +416,46 @@ def test_neighbours_among_near_copies(spark):
     s = x.astype(np.float64) @ x.astype(np.float64).T
     want = {q: set([i for i in np.lexsort((np.arange(1500), -s[q])).tolist() if i != q][:20]) for q in range(0, 1500, 100)}
     assert sum(len(want[q] & got[q]) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_neighbours_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 150, raising=False)
+    monkeypatch.setattr(neighbours, "WAVE", 3, raising=False)
+    written, write = [], neighbours.write_table
+
+    def counted(df, label):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "write_table", counted)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 24))
+    x[300:340] = x[7] + 0.01 * rng.normal(size=(40, 24))  # a small group, in all shards
+    x[500:530] = x[20]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    assert sorted(got) == list(range(0, 1200, 20))
+    hit = 0
+    for q, found in got.items():
+        hit += len(set([i for i in np.lexsort((np.arange(1200), -s[q])).tolist() if i != q][:20]) & {i for i, _ in found})
+        assert len(found) == 20 and found == sorted(found, key=lambda v: (-v[1], v[0]))
+        assert all(v == pytest.approx(s[q, i], abs=1e-12) for i, v in found)
+    assert hit >= 0.95 * 20 * len(got)
+    # steps hold the vectors and what the queries found, not lists of neighbours for each round
+    assert sum(written) <= 4 * len(x), written
+
+
+def test_neighbours_closer_than_four_bytes_tell(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([1 + 1e-9 * rng.normal(size=(1500, 16)), rng.normal(size=(500, 16))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: {i for i in np.lexsort((np.arange(2000), -(x @ x[q]))).tolist()[:21] if i != q} for q in range(0, 2000, 100)}
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.95 * 20 * len(want)
