@@ -301,9 +301,9 @@ def _vectors_and_tree(spark, seed):
     rng = np.random.default_rng(seed)
     w = np.concatenate([rng.integers(-(2**62), 2**62, (60, 2)), np.repeat(rng.integers(-(2**62), 2**62, (1, 2)), 15, axis=0)])
     rows = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(w)], "id bigint, w array<bigint>")
-    dist = np.bitwise_count(w[:, None] ^ w).sum(axis=2)
+    dist = np.bitwise_count((w[:, None] ^ w).view(np.uint64)).sum(axis=2)
     queries = rows.where("id % 5 = 0").toDF("qid", "qw")
-    top = lambda k: [(q, i, int(dist[q, i]), r + 1) for q in range(0, 75, 5) for r, i in enumerate(np.lexsort((np.arange(75), dist[q]))[:k].tolist())]
+    top = lambda k: sorted((q, i, int(dist[q, i]), r + 1) for q in range(0, 75, 5) for r, i in enumerate(np.lexsort((np.arange(75), dist[q]))[:k].tolist()))
     return rows, queries, top
 
 
@@ -322,3 +322,22 @@ def test_growing_search_makes_no_pair_rows(spark, monkeypatch):
     tree = (*cluster.build_tree(rows, min_cardinality=4), rows)
     assert _found(cluster.knn_growing(queries, *tree, 6)) == top(6)
     assert _found(cluster.knn_growing(queries, *tree, 200)) == top(200)
+
+
+def test_sieves_make_no_pair_rows(spark, monkeypatch):
+    rows, queries, top = _vectors_and_tree(spark, 22)
+    monkeypatch.setattr(search, "pair_queries", _no_pairs)
+    monkeypatch.setattr(search, "NUMBERS_MOST", 90)
+    nodes, members = cluster.build_tree(rows, min_cardinality=4)
+    masks = cluster.annotate(members, 2)
+    assert _found(cluster.knn_sieve(queries, nodes, members, rows, 6)) == top(6)
+    assert _found(cluster.knn_sieve(queries, nodes, members, rows, 6, masks)) == top(6)
+
+
+def test_top_k_makes_no_pair_rows(spark, monkeypatch):
+    rows, queries, top = _vectors_and_tree(spark, 23)
+    monkeypatch.setattr(search, "pair_queries", _no_pairs)
+    for tile, numbers in ((40, 90), (1 << 17, 4_000_000)):
+        monkeypatch.setattr(search, "TILE", tile, raising=False)
+        monkeypatch.setattr(search, "NUMBERS_MOST", numbers)
+        assert _found(search.hamming_top_k(queries, rows, 4)) == top(4)
