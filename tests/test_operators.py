@@ -351,3 +351,34 @@ def test_compressed_search_makes_no_pair_rows(spark, monkeypatch):
     for rho in (0, 55, 128):
         found = cluster.compressed_search(queries, cluster.compressed_points(nodes, members, rows), rho)
         assert sorted((r.qid, r.id, r.dist) for r in found.collect()) == sorted(t[:3] for t in top(75) if t[2] <= rho)
+
+
+def test_mask_bounds_make_no_pair_rows(spark, monkeypatch):
+    from arrayloom.plans import catalog
+
+    monkeypatch.setattr(search, "pair_queries", _no_pairs)
+    v = np.random.default_rng(25).normal(size=(43, 64))
+    table = spark.createDataFrame([(i, 0, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, label int, v array<double>")
+    monkeypatch.setattr(catalog, "vectors", lambda spark, d: table)
+    masks = np.array([(v[g : g + 4] >= 0).any(axis=0) for g in range(0, 43, 4)])
+    want = []
+    for q in (0, 20, 40):
+        bound = ((v[q] >= 0) & ~masks).sum(axis=1)
+        want += [(q, g, int(bound[g]), r + 1) for r, g in enumerate(np.lexsort((np.arange(len(masks)), bound))[:10].tolist())]
+    assert sorted(map(tuple, catalog.or_mask_bound(spark, "").collect())) == sorted(want)
+
+
+def test_adaptive_within_agrees_with_its_column(spark, monkeypatch):
+    rng = np.random.default_rng(26)
+    base = rng.random((5, 1024)) < 0.5
+    flags = [base[i % 5] ^ (rng.random(1024) < (0.05 + 0.3 * rng.random())) ^ (np.arange(1024) < rng.integers(0, 90)) for i in range(60)]
+    w = [np.packbits(f, bitorder="little").view(np.int64).tolist() for f in flags]
+    rows = spark.createDataFrame(list(enumerate(w)), "id bigint, w array<bigint>")
+    queries = rows.where("id % 4 = 0").toDF("qid", "qw")
+    both = search.pair_queries(queries, rows)
+    exact, staged = (search.hamming_adaptive(F.col("qw"), F.col("w"), 16, 300, faithful=f) for f in (False, True))
+    want = sorted(map(tuple, both.select("qid", "id", exact.alias("d"), staged.alias("s")).where("d IS NOT NULL").collect()), key=str)
+    assert 0 < sum(r[3] is None for r in want) < len(want)
+    monkeypatch.setattr(search, "pair_queries", _no_pairs)
+    monkeypatch.setattr(search, "TILE", 90)
+    assert sorted(map(tuple, search.adaptive_within(queries, rows, 16, 300).collect()), key=str) == want
