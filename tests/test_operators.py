@@ -410,3 +410,16 @@ def test_storing_costs_agree_with_their_definition(spark, monkeypatch):
         monkeypatch.setattr(cluster, "kept", kept)
         jobs[local] = len(calls)
     assert jobs[4096] <= 3  # no step for each level of a subtree
+
+
+def test_similar_pairs_of_a_common_slice_go_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(28)
+    vecs = rng.integers(-2, 3, (70, 48))
+    vecs[20:] = np.where(rng.random((50, 48)) < 0.04, rng.integers(-2, 3, (50, 48)), vecs[rng.integers(0, 3, 50)])
+    vecs[:, :12] = 1
+    df = spark.createDataFrame([(i * 3, [int(x) for x in v]) for i, v in enumerate(vecs)], "id bigint, s array<int>")
+    want = sorted((a * 3, b * 3, int((vecs[a] != vecs[b]).sum())) for a in range(70) for b in range(a + 1, 70) if (vecs[a] != vecs[b]).sum() < 0.1 * 48)
+    monkeypatch.setattr(symbols, "distance", _no_pairs)
+    for most in (16_384, 9):
+        monkeypatch.setattr(search, "SLICE_MOST", most, raising=False)
+        assert len(want) > 20 and sorted(map(tuple, search.similar_pairs(df, 0.1, 48).collect())) == want
