@@ -6,10 +6,11 @@ tables that every task gets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def organic_write(container: np.ndarray, template: np.ndarray, amplitude: float,
     room = 1 - np.abs(container[positions].astype(float)) / 127
     full = amplitude * template[positions]
     actual = full * room
-    container[positions] = np.clip(away(container[positions] + actual), -128, 127)
+    container[positions] = np.minimum(np.maximum(away(container[positions] + actual), -128), 127)
     total = np.abs(full).sum()
     return float(np.abs(actual).sum() / total) if total > 1e-10 else 1.0
 
@@ -131,15 +132,23 @@ class Wal:
 
     def __post_init__(self):
         self.positions = channel_positions(self.d, self.channels)
+        self._orthogonal: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def register(self, concept: int, template) -> int:
+        self._orthogonal.clear()
         self.templates.append(np.asarray(template, float))
         self.coefficients.append(0.0)
         self.ids.append(concept)
         return len(self.ids) - 1
 
     def orthogonal(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The template less its projections on the others, one after the other, and those."""
+        """The template less its projections on the others, one after the other, and those; worked out once while the
+        templates stay."""
+        if i not in self._orthogonal:
+            self._orthogonal[i] = self._projected(i)
+        return self._orthogonal[i]
+
+    def _projected(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         out, shares = self.templates[i].copy(), np.zeros(len(self.ids))
         for k, t in enumerate(self.templates):
             norm = t @ t
@@ -191,6 +200,7 @@ class Wal:
         if len(template) != len(self.templates[i]):
             raise ValueError("a template keeps its size")
         self.templates[i] = template
+        self._orthogonal.clear()
 
     def residual(self, container: np.ndarray, coefficients: np.ndarray) -> tuple[np.ndarray, float]:
         """What is left of the container without each concept's share at its own channel's positions, and its mean square."""
@@ -217,22 +227,47 @@ class Wal:
 
 def wal_sequence(events: DataFrame, templates: list[list[int]], *, key: str, order: str, d: int, channels: int, rate: float = 0.1, decay: int | None = None, flush_keep: int | None = None) -> DataFrame:
     """Fold each container's writes (key, order, concept, amplitude) in order: (key, order, concept, absorbed), or with
-    ``flush_keep`` one row for each container after a flush: (key, rewritten, pruned, absorption)."""
+    ``flush_keep`` one row for each container after a flush: (key, rewritten, pruned, absorption). Writes stream through a
+    task in order, a container after the other; a task holds one container and one batch."""
     ship(events.sparkSession)
     kind, order_kind = (events.schema[c].dataType.simpleString() for c in (key, order))
 
-    def fold(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        wal, plastic = Wal(d, channels), Plasticity(decay) if decay is not None else None
-        for i, t in enumerate(templates):
-            wal.register(i, t)
-            if plastic:
-                plastic.add()
-        container, part = np.zeros(d), part.sort_values([order, "concept"], kind="stable")
-        absorbed = [wal.write(container, int(c), float(a), rate, plastic) for c, a in zip(part["concept"], part["amplitude"], strict=True)]
-        if flush_keep is not None:
-            told = wal.flush(container, flush_keep)
-            return pd.DataFrame({key: [group[0]], "rewritten": [told["rewritten"]], "pruned": [len(told["pruned"])], "absorption": [told["absorption"]]})
-        return pd.DataFrame({key: group[0], order: part[order].to_numpy(), "concept": part["concept"].to_numpy(), "absorbed": absorbed})
+    known = Wal(d, channels)  # its templates and their projections serve all containers of a task
+    for i, t in enumerate(templates):
+        known.register(i, t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, container, plastic, last = None, None, None, None
+
+        def told() -> tuple:
+            end = known.flush(container, flush_keep)
+            return (own[0], end["rewritten"], len(end["pruned"]), end["absorption"])
+
+        for batch in batches:
+            concepts, amplitudes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("concept", "amplitude"))
+            absorbed, out = [], []
+            for group, c, a in zip(batch.column(key).to_pylist(), concepts, amplitudes, strict=True):
+                if own is None or group != own[0]:
+                    if own is not None and flush_keep is not None:
+                        out.append(told())
+                    own, container, known.coefficients = (group,), np.zeros(d), [0.0] * len(templates)
+                    plastic = Plasticity(decay) if decay is not None else None
+                    for _ in templates if plastic else ():
+                        plastic.add()
+                absorbed.append(known.write(container, int(c), float(a), rate, plastic))
+            if flush_keep is None:
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), pa.array(concepts, pa.int32()), pa.array(absorbed, pa.float64())], [key, order, "concept", "absorbed"])
+            else:
+                yield rows_of(out, batch)
+                last = batch
+        if own is not None and flush_keep is not None:
+            yield rows_of([told()], last)
+
+    def rows_of(out: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = (batch.column(key).type, pa.int32(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [key, "rewritten", "pruned", "absorption"])
 
     schema = f"{key} {kind}, rewritten int, pruned int, absorption double" if flush_keep is not None else f"{key} {kind}, {order} {order_kind}, concept int, absorbed double"
-    return events.select(key, order, "concept", "amplitude").groupBy(key).applyInPandas(fold, schema)
+    placed = events.select(key, order, "concept", "amplitude").repartition(key).sortWithinPartitions(key, F.asc_nulls_last(order), "concept")
+    return placed.mapInArrow(run, schema)

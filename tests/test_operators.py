@@ -423,3 +423,29 @@ def test_similar_pairs_of_a_common_slice_go_by_blocks(spark, monkeypatch):
     for most in (16_384, 9):
         monkeypatch.setattr(search, "SLICE_MOST", most, raising=False)
         assert len(want) > 20 and sorted(map(tuple, search.similar_pairs(df, 0.1, 48).collect())) == want
+
+
+def test_write_sequences_stream_through_batches(spark):
+    rng = np.random.default_rng(29)
+    writes = [(int(u), i, int(rng.integers(3)), float(1 + rng.random())) for i, u in enumerate(rng.integers(0, 4, 120))] + [(None, 500, 1, 1.5)]
+    df = spark.createDataFrame(writes, "u bigint, e bigint, concept int, amplitude double").repartition(3)
+    templates = [[int(x) for x in rng.integers(-2, 3, 32)] for _ in range(3)]
+    want, ends = {}, {}
+    for u in (0, 1, 2, 3, None):
+        wal, plastic, container = learn.Wal(32, 4), learn.Plasticity(9), np.zeros(32)
+        for i, t in enumerate(templates):
+            wal.register(i, t)
+            plastic.add()
+        for _, e, c, a in (w for w in writes if w[0] == u):
+            want[u, e, c] = wal.write(container, c, a, 0.1, plastic)
+        told = wal.flush(container, 2)
+        ends[u] = (told["rewritten"], len(told["pruned"]), told["absorption"])
+    how = {"key": "u", "order": "e", "d": 32, "channels": 4, "decay": 9}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        steps, flushed = learn.wal_sequence(df, templates, **how), learn.wal_sequence(df, templates, flush_keep=2, **how)
+        assert "MapInArrow" in steps._jdf.queryExecution().toString()
+        assert {(r.u, r.e, r.concept): r.absorbed for r in steps.collect()} == want
+        assert {r.u: tuple(r)[1:] for r in flushed.collect()} == ends and flushed.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
