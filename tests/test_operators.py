@@ -449,3 +449,12 @@ def test_write_sequences_stream_through_batches(spark):
         assert {r.u: tuple(r)[1:] for r in flushed.collect()} == ends and flushed.count() == 5
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_u8_ratios_of_odd_rows(spark, tmp_path):
+    from arrayloom.plans import catalog
+
+    rows = [(1, 1, 3.7, 0.0, -0.05), (2, 1, 2.5, 0.0, 0.0), (3, 1, 1.0, None, 0.0), (4, 1, 1.0, None, None), (5, 1, None, None, 0.05), (6, 1, 1.0, 0.0, None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.l_orderkey: (r.u, r.ratio) for r in catalog.u8_wrap_arith(spark, str(tmp_path)).collect()}
+    assert found == {1: (92, float("inf")), 2: (18, None), 5: (None, None)}
